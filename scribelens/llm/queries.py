@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, secrets, simhash, url_filter
+from . import ctw, decontaminate, license_scan, mixing, quality_cnn, quality_rules, secrets, simhash, substring_dedup, url_filter
+from .common import held_out
 
 #: The rules that op2 judges by.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -21,6 +22,12 @@ def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line or sentence that an earlier place already has."""
+    found = substring_dedup.repeated(_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("first").alias("start"), "end", "n_words", "digest", F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's url, judged by the rules, else by its template; a page is labelled by the document whose number ends its path."""
     pages, labels = _table(spark, folder, "pages"), _table(spark, folder, "labels")
@@ -55,6 +62,20 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of those that aren't held out."""
+    documents, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    network = quality_cnn.trained(documents, labels, ~held_out(F.col("id"), 5, 0))
+    scores = quality_cnn.scored(documents, network)
+    return scores.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_ctw_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by the context tree and by unigrams."""
+    found = ctw.scored(_table(spark, folder, "documents"), ~held_out(F.col("doc_id"), 7, 2))
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents hold which benchmark items."""
     judged, _ = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -62,8 +83,18 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = license_scan.scanned(_table(spark, folder, "documents"))
+    joined = [F.array_join(c, ",").alias(f"{n}labels") for c, n in (("base", "base_"), ("labels", ""))]
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+_ALL = (op1_substring_dedup, op2_url_filter, op3_secret_scan, op4_quality_rules, op5_source_mixing, op6_simhash, op7_quality_classifier, op8_ctw_scoring, op9_decontamination, op10_license_scan)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_secret_scan, op4_quality_rules, op5_source_mixing, op6_simhash, op9_decontamination)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
