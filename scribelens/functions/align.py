@@ -13,11 +13,13 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .stats import first_mode
 
-OPS = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+#: Types as objects: a type given as text would need a session when this module is imported.
+OPS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("i1", "i2", "j1", "j2"))]))
 _OP = pa.struct([("tag", pa.string()), *((n, pa.int32()) for n in ("i1", "i2", "j1", "j2"))])
 
 
@@ -39,14 +41,14 @@ def _coverage(a: str, b: str) -> float:
     return 1.0 - sum(m.size for m in blocks) / len(a)
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def char_cer(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Share of the first text's characters (white space aside) in no block matched in the second."""
     for left, right in pairs:
         yield pa.array([_coverage(a or "", b or "") for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def median_cer(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """How unlike the reference's positions first..end-1 are to what models wrote there instead: the upper median of :func:`char_cer`.
 
@@ -142,7 +144,7 @@ def edit_span_chars(a: Column, b: Column) -> Column:
     return F.aggregate(left, F.lit(0), lambda n, t: n + F.length(t))
 
 
-@arrow_udf("int")
+@arrow_udf(T.IntegerType())
 def token_edits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Levenshtein distance of two token arrays of any size."""
     for left, right in pairs:
@@ -157,7 +159,7 @@ def token_edits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
         yield pa.array(out, pa.int32())
 
 
-@arrow_udf("array<int>")
+@arrow_udf(T.ArrayType(T.IntegerType()))
 def block_map(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """For each token of the first array its place in the second by matching blocks; -1 for none."""
     for left, right in pairs:

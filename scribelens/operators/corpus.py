@@ -8,13 +8,14 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import upper_median
 from ..functions.text import fuzzy_form
 from .sequence import near_dates, nearest_position
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def partial_ratio(needles: pa.Array, texts: pa.Array) -> pa.Array:
     """The best similarity, 0 to 100, of the shorter text with an equally long window of the longer, by the windows that matching blocks suggest."""
     out = []
