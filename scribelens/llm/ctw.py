@@ -119,60 +119,89 @@ def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums[:, 2:512:2], sums[:, 3:512:2]
 
 
-def _block(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log block probability and probability of a one, by KT, at each decision."""
+def _log_block(counts: np.ndarray) -> np.ndarray:
+    """Log block probability by KT at each decision."""
     zeros, ones = _bits(counts)
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1), (ones + 0.5) / (zeros + ones + 1)
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1)
+
+
+def _next_one(counts: np.ndarray) -> np.ndarray:
+    """Probability of a one by KT at each decision."""
+    zeros, ones = _bits(counts)
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def _parts(n: int, most: int = 2048):
+    return (slice(i, min(i + most, n)) for i in range(0, n, most))
 
 
 class Model:
     """The tree's nodes: ``child[node, byte before]`` (-1: none) and ``score[node, byte]`` (log10 probability)."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels``: for each depth the sorted contexts and their counts by byte; depth 0 has the one context 0."""
+        """``levels``: for each depth the sorted contexts and their counts by byte; depth 0 has the one context 0.
+
+        Work arrays beyond the counts are two single-precision numbers for each node and
+        decision of neighbouring depths, and pieces of 2048 nodes.
+        """
         depth = len(levels) - 1
         first = np.concatenate([[0], np.cumsum([len(k) for k, _ in levels])])
         self.depth, n = depth, int(first[-1])
         self.child = np.full((n, 256), -1, np.int32)
-        parent = [None] * (depth + 1)
+        parent = [np.zeros(1, np.int64)]
         for d in range(1, depth + 1):
             keys = levels[d][0]
-            parent[d] = np.searchsorted(levels[d - 1][0], keys & np.uint64((1 << (8 * (d - 1))) - 1))
+            parent.append(np.searchsorted(levels[d - 1][0], keys & np.uint64((1 << (8 * (d - 1))) - 1)))
             self.child[first[d - 1] + parent[d], (keys >> np.uint64(8 * (d - 1))).astype(np.int64)] = first[d] + np.arange(len(keys))
-        # upwards: block probabilities, and the weight of stopping at a node
-        kt, stop, leaf, below = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1), None
+
+        def rest(d: int, part: slice) -> np.ndarray:
+            """Counts of a node's contexts that aren't nodes."""
+            left = levels[d][1][part].copy()
+            lo, hi = np.searchsorted(order[d + 1], [part.start, part.stop])
+            np.subtract.at(left, order[d + 1][lo:hi] - part.start, levels[d + 1][1][by_parent[d + 1][lo:hi]])
+            return left
+
+        by_parent = [None] + [np.argsort(parent[d], kind="stable") for d in range(1, depth + 1)]
+        order = [None] + [parent[d][by_parent[d]] for d in range(1, depth + 1)]
+        # upwards: block probabilities, and from them the weight of stopping at a node
+        stop, below = [None] * (depth + 1), None
         for d in range(depth, -1, -1):
-            counts = levels[d][1]
-            own, kt[d] = _block(counts)
-            inner = np.zeros(len(counts), bool)
-            leaf[d] = kt[d]
-            weighted = own
-            stop[d] = np.ones_like(own)
-            if d < depth and len(levels[d + 1][0]):
-                inner[parent[d + 1]] = True
-                rest = counts.copy()
-                np.subtract.at(rest, parent[d + 1], levels[d + 1][1])
-                split, rest_kt = _block(rest)
-                np.add.at(split, parent[d + 1], below)
-                both = np.logaddexp(own, split) - math.log(2)
-                weighted = np.where(inner[:, None], both, own)
-                stop[d] = np.where(inner[:, None], np.exp(np.minimum(own - math.log(2) - both, 0.0)), 1.0)
-                leaf[d] = np.where(inner[:, None], rest_kt, kt[d])
+            size = len(levels[d][0])
+            stop[d], weighted = np.ones((size, 255), np.float32), np.empty((size, 255))
+            for part in _parts(size):
+                own = _log_block(levels[d][1][part])
+                weighted[part] = own
+                if d == depth or not len(levels[d + 1][0]):
+                    continue
+                lo, hi = np.searchsorted(order[d + 1], [part.start, part.stop])
+                split = _log_block(rest(d, part))
+                np.add.at(split, order[d + 1][lo:hi] - part.start, below[by_parent[d + 1][lo:hi]])
+                inner = np.unique(order[d + 1][lo:hi]) - part.start
+                both = np.logaddexp(own[inner], split[inner]) - math.log(2)
+                weighted[part.start + inner] = both
+                stop[d][part.start + inner] = np.exp(np.minimum(own[inner] - math.log(2) - both, 0.0))
             below = weighted
-        # downwards: each node's row is where a context ends that has no deeper node
+        del below, weighted
+        # downwards: what the depths above give to a decision, and the weight that is left below them
         self.score = np.zeros((n, 256), np.float32)
         byte = np.arange(256)
+        given, left = np.zeros((1, 255)), np.ones((1, 255))
         for d in range(depth + 1):
-            p, up = leaf[d], np.arange(len(levels[d][0]))
-            for e in range(d, -1, -1):
-                p = stop[e][up] * kt[e][up] + (1 - stop[e][up]) * p
-                if e:
-                    up = parent[e][up]
-            total = np.zeros((len(p), 256))
-            for level in range(8):
-                node, bit = ((256 + byte) >> (8 - level)) - 1, (byte >> (7 - level)) & 1
-                total += np.log10(np.where(bit, p[:, node], 1 - p[:, node]))
-            self.score[first[d] : first[d + 1]] = total
+            size = len(levels[d][0])
+            new_given, new_left = np.empty((size, 255)), np.empty((size, 255))
+            for part in _parts(size):
+                up, weight = parent[d][part], stop[d][part]
+                new_given[part] = given[up] + left[up] * weight * _next_one(levels[d][1][part])
+                new_left[part] = left[up] * (1 - weight)
+                # a node's row is where a context ends that has no deeper node
+                ends = _next_one(rest(d, part)) if d < depth and len(levels[d + 1][0]) else 0.5
+                p = np.clip(new_given[part] + new_left[part] * ends, 1e-12, 1 - 1e-12)
+                total = np.zeros((len(p), 256))
+                for level in range(8):
+                    node, bit = ((256 + byte) >> (8 - level)) - 1, (byte >> (7 - level)) & 1
+                    total += np.log10(np.where(bit, p[:, node], 1 - p[:, node]))
+                self.score[first[d] + part.start : first[d] + part.stop] = total
+            given, left = new_given, new_left
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log10 probability of each text with its end."""
@@ -248,7 +277,7 @@ def _scorer(model, frequent):
     return run
 
 
-def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, contexts: int = 16384, frequent: int = 65536) -> DataFrame:
+def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, contexts: int = 12288, frequent: int = 65536) -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     ``training`` says which rows are learned from. ``score`` is the log10 probability of the
