@@ -53,8 +53,9 @@ def mixed(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     table = targets(sized.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size).alias("source_size")), weights, most)
     table = stored(table, "targets").withColumnsRenamed({"source": source, "source_size": "source_size"})
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    # 53 bits of a hash are a number in [0, 1); id and text, so that rows without an id differ
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string")), 11) / F.lit(float(1 << 53))
+    # 52 bits of a digest are a number in [0, 1); id and text, so that rows without an id differ
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     joined = sized.join(table, sized[source_col].cast("string").eqNullSafe(table[source])).drop(source)
     taken = joined.withColumn(copies, (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long"))
     return taken.withColumnsRenamed({size: "size", copies: "copies"})
