@@ -15,12 +15,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     spread = 1 + F.try_divide(F.lit(z * z), n)
     center = (p + F.try_divide(F.lit(z * z), 2 * n)) / spread
     half = F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z), 4 * n * n)) / spread
-    zero = F.lit(0.0)
-    return F.struct(
-        F.coalesce(p, zero).alias("rate"),
-        F.coalesce(F.greatest(zero, center - half), zero).alias("lo"),
-        F.coalesce(F.least(F.lit(1.0), center + half), zero).alias("hi"),
-    )
+    some = lambda x, name: F.when(n > 0, x).otherwise(0.0).alias(name)
+    return F.struct(some(p, "rate"), some(F.greatest(F.lit(0.0), center - half), "lo"), some(F.least(F.lit(1.0), center + half), "hi"))
 
 
 def rates(df: DataFrame, keys: list[str], hit: Column, z: float = 1.96) -> DataFrame:

@@ -101,7 +101,8 @@ def disagreement_json(edits: DataFrame, rates: DataFrame, n_clips: int, panel: S
     """
     verdict = F.map_from_entries("verdicts")
     each = F.struct("kind", "position", F.array_join("tokens", " ").alias("text"), "n_panel_agree", "n_panel", F.round("consensus_cer", 3).alias("consensus_cer"), verdict.alias("verdict"))
-    listed = edits.agg(F.count("*").alias("n_edits"), F.transform(F.array_sort(F.collect_list(F.struct("clip_key", "kind", "first", each.alias("e")))), lambda x: x["e"]).alias("edits"))
+    by_place = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    listed = edits.agg(F.count("*").alias("n_edits"), F.transform(F.array_sort(F.collect_list(F.struct(F.struct("clip_key", "kind", "first").alias("k"), each.alias("e"))), by_place), lambda x: x["e"]).alias("edits"))
     rate = rates.agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("rate", "n_ref", "n_eligible", "lo", "hi")))).alias("accept_ref"))
     params = F.struct(F.lit(settings.majority).alias("majority"), F.lit(settings.min_run_len).alias("min_run_len"), F.lit(settings.include_middle).alias("include_middle"))
     whole = F.struct(F.lit(n_clips).alias("n_clips"), F.array(*(F.lit(p) for p in panel)).alias("panel"), "n_edits", params.alias("params"), "accept_ref", "edits")
