@@ -39,7 +39,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     names = df.columns
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     plain.write.parquet(path)
-    return spark.read.schema(plain.schema).parquet(path).toDF(*names)
+    out = spark.read.schema(plain.schema).parquet(path).toDF(*names)
+    out._scribelens_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing needs any more; what was made of them must be stored itself."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scribelens_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bytes_of(column: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bytes_of, flat, pieces, stored
+from .common import bytes_of, flat, pieces, stored, temporary
 from .words import grams, starts_within, words
 
 _WINDOW = "array<struct<fingerprint:bigint,window:bigint,first:int,n:int>>"
@@ -157,11 +157,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``documents`` of whose words no more than ``max_share`` are hit, with all their columns."""
-    from .common import temporary
-
-    (row,) = temporary(documents, "row")
-    marked = stored(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
-    judged, _ = contamination(marked.select(F.col(row).alias("doc"), F.col(text_col).alias("text")), benchmark, id_col="doc", text_col="text", **options)
-    bad = judged.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("id").alias(row))
-    return marked.join(bad, row, "left_anti").drop(row)
+    """The rows of ``documents`` of whose words no more than ``max_share`` are hit, with all their columns.
+
+    Equal texts are judged alike, so texts to drop are told by a 128-bit digest and no copy of
+    the documents is needed. ``id_col`` isn't looked at.
+    """
+    high, low = temporary(documents, "high", "low")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = documents.withColumns({high: F.xxhash64(text), low: F.xxhash64(F.lit(1), text)})
+    judged, _ = contamination(marked.select(F.struct(F.col(high).alias("h"), F.col(low).alias("l")).alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", text_col="text", **options)
+    bad = judged.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("id.h").alias(high), F.col("id.l").alias(low)).distinct()
+    return marked.join(stored(bad, "bad"), [high, low], "left_anti").drop(high, low)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bytes_of, stored, temporary
+from .common import bytes_of, release, stored, temporary
 from .words import mixed
 
 
@@ -99,7 +99,9 @@ def links(prints: DataFrame, *, distance: int = 2, segments: int = 5, bucket: in
     keys = F.array(*(F.struct((F.col("band") * segments + i).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(chain(i, free))).alias("key")) for i in range(segments)))
     keyed = stored(prints.select("fingerprint", F.inline(keys)), "keys")
     counts = keyed.groupBy("start", "key").count().where("count > 1")
-    shared = stored(keyed.join(stored(counts, "counts"), ["start", "key"]), "shared")
+    counts = stored(counts, "counts")
+    shared = stored(keyed.join(counts, ["start", "key"]), "shared")
+    release(keyed, counts)
 
     differ = lambda start, n: F.bit_count(F.col("l.fingerprint").bitwiseXOR(F.col("r.fingerprint")).bitwiseAND(F.lit(chain(start, n))))
     within = F.lit(False)
@@ -138,9 +140,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = edges.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b"))
         large = stored(large.where("a != b").distinct(), "large")
         # small star: neighbours below a node, and the node itself, are tied to their least
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.inline(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        edges = stored(small.where("a != b").distinct(), "edges")
+        lower = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").select(F.inline(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+        small = stored(small.where("a != b").distinct(), "edges")
+        release(edges, least, large, lower)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -224,8 +228,7 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = documents.select(F.col(id_col).alias("id"), bytes_of(F.col(text_col)).alias("text"))
     signed = stored(rows.select("id", _signatures(bands)(F.col("text")).alias("s")).select("id", "s.*"), "signed")
     texts = stored(signed.groupBy("high", "low").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands")), "texts")
-    prints = texts.select("node", F.posexplode("bands").alias("band", "fingerprint"))
-    prints = stored(prints, "prints")
+    prints = stored(texts.select("node", F.posexplode("bands").alias("band", "fingerprint")), "prints")
     owners = stored(prints.groupBy("band", "fingerprint").agg(F.min("node").alias("owner")), "owners")
     found = stored(links(owners.select("band", "fingerprint"), distance=distance, segments=segments, bucket=bucket), "links")
     same = prints.join(owners, ["band", "fingerprint"]).where("node <> owner").select(F.col("owner").alias("a"), F.col("node").alias("b"))
@@ -233,27 +236,33 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     second = owners.select("band", F.col("fingerprint").alias("b"), F.col("owner").alias("right"))
     near = found.join(first, ["band", "a"]).join(second, ["band", "b"]).where("left <> right").select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"))
     pairs = stored(same.unionByName(near).distinct(), "pairs")
+    release(prints, owners, found)
     ends = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
     sets = stored(rows.join(ends, "id", "left_semi").select("id", _shingler(words)(F.col("text")).alias("shingles")), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    alike = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    alike = stored(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "alike")
+    release(pairs, ends, sets)
     roots = stored(components(alike), "roots")
     named = texts.join(roots.withColumnRenamed("root", "component"), "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
-    return signed.select("id", "high", "low").join(stored(named, "named"), ["high", "low"]).select("id", "component")
+    named = stored(named, "named")
+    release(texts, alike, roots)
+    return signed.select("id", "high", "low").join(named, ["high", "low"]).select("id", "component")
 
 
-def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: bool = False, **options) -> DataFrame:
     """One row of each group of similar texts (see :func:`similar_groups`), the one with the smallest id, with all its columns.
 
-    Rows that share an id are told apart by their place in the stored input; a row without an
-    id stays only where its group has no other. Null and empty texts are one group.
+    Rows that share an id are told apart by their place; a row without an id stays only where
+    its group has no other. Null and empty texts are one group. The input is stored first,
+    so that places stay the same, unless it is a plain ``table`` read from files already.
     """
-    row, rank = temporary(documents, "row", "rank")
-    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
-    # one number for each row, in order of ids, nulls last, then of places
-    order = numbered.select(row, id_col).orderBy(F.col(id_col).asc_nulls_last(), row).select(row, F.monotonically_increasing_id().alias(rank))
-    ranked = stored(numbered.select(row, text_col).join(stored(order, "order"), row), "ranked")
-    kept = similar_groups(ranked, id_col=rank, text_col=text_col, **options).where("id = component").select(F.col("id").alias(rank))
-    first = ranked.select(row, rank).join(kept, rank, "left_semi").select(row)
-    return numbered.join(first, row, "left_semi").drop(row)
+    (row,) = temporary(documents, "row")
+    numbered = (documents if table else stored(documents, "documents")).withColumn(row, F.monotonically_increasing_id())
+    groups = similar_groups(numbered, id_col=row, text_col=text_col, **options)
+    rank = F.struct(F.col("i").isNull().alias("none"), "i", "id")
+    members = stored(groups.join(numbered.select(F.col(row).alias("id"), F.col(id_col).alias("i")), "id").select("component", "id", rank.alias("rank")), "members")
+    kept = stored(members.groupBy("component").agg(F.min("rank").alias("best")).select("component", F.col("best.id").alias("best")), "kept")
+    gone = stored(members.join(kept, "component").where("id <> best").select(F.col("id").alias(row)), "gone")
+    release(members, kept)
+    return numbered.join(gone, row, "left_anti").drop(row)
