@@ -277,7 +277,7 @@ def _scorer(model, frequent):
     return run
 
 
-def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, contexts: int = 12288, frequent: int = 65536) -> DataFrame:
+def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, contexts: int = 8192, frequent: int = 65536) -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     ``training`` says which rows are learned from. ``score`` is the log10 probability of the
