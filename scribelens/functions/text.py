@@ -86,7 +86,7 @@ def book_words(text: Column) -> Column:
 def between_markers(text: Column) -> Column:
     """The body between a digital book's START and END lines; all of it without them."""
     after = F.regexp_replace(text, r"(?is)^.*?\*\*\* ?START OF[^\n]*\n", "")
-    return F.trim(F.regexp_replace(after, r"(?is)\*\*\* ?END OF.*$", ""))
+    return F.btrim(F.regexp_replace(after, r"(?is)\*\*\* ?END OF.*$", ""), F.lit(" \t\r\n"))
 
 
 def plain_markup(text: Column) -> Column:

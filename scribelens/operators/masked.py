@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import core, masked_form
 
@@ -153,15 +155,23 @@ def strict_hit(hidden: Column, hyp: Column) -> Column:
 
 
 def spelled(n: int) -> str:
-    """A number from 0 to 9999 in English words."""
+    """A number in English words."""
     if n < 20:
         return _ONES[n]
     if n < 100:
         return _TENS[n // 10 * 10] + (f"-{_ONES[n % 10]}" if n % 10 else "")
     if n < 1000:
         return f"{_ONES[n // 100]} hundred" + (f" and {spelled(n % 100)}" if n % 100 else "")
-    rest = n % 1000
-    return f"{spelled(n // 1000)} thousand" + ("" if not rest else (" and " if rest < 100 else ", ") + spelled(rest))
+    name, unit = max(((w, v) for w, v in MAGNITUDES.items() if 1000 <= v <= n), key=lambda x: x[1])
+    rest = n % unit
+    return f"{spelled(n // unit)} {name}" + ("" if not rest else (" and " if rest < 100 else ", ") + spelled(rest))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def forms_of_large(keys: pa.Array) -> pa.Array:
+    """Ways to write numbers of four digits or more that are given in digits; null for other keys."""
+    large = lambda k: k is not None and k.isascii() and k.isdigit() and 4 <= len(k) <= 15
+    return pa.array([[k, f"{int(k):,}", spelled(int(k)), spelled(int(k)).replace(" and ", " ")] if large(k) else None for k in keys.to_pylist()], pa.list_(pa.string()))
 
 
 def spelled_year(n: int) -> str:
@@ -199,13 +209,13 @@ def value_of(hidden: Column, forms: DataFrame) -> tuple[Column, DataFrame]:
 def value_hit(rows: DataFrame, forms: DataFrame, hidden: str = "hidden_ref", hyp: str = "hypothesis") -> DataFrame:
     """Adds hit: the hidden number in any of its forms, or its letters and digits with or without spaces between."""
     key, table = value_of(F.col(hidden), forms)
-    joined = rows.withColumn("_key", key).join(F.broadcast(table.withColumnRenamed("key", "_key")), "_key", "left")  # of fixed size
+    joined = rows.withColumn("_key", key).withColumn("_large", forms_of_large("_key")).join(F.broadcast(table.withColumnRenamed("key", "_key")), "_key", "left")  # of fixed size
     low = F.lower(F.coalesce(hyp, F.lit("")))
-    by_form = F.coalesce(F.exists("forms", lambda f: _bounded(f, low)), F.lit(False))
+    by_form = F.coalesce(F.exists(F.coalesce("forms", "_large"), lambda f: _bounded(f, low)), F.lit(False))
     runs = F.regexp_extract_all(F.lower(F.col(hidden)), F.lit("([a-z]+|[0-9]+)"), F.lit(1))
     loose = F.when(F.size(runs) > 0, F.regexp_like(low, F.concat(F.lit(r"(?U)(?:^|\W)"), F.array_join(runs, r"\s*"), F.lit(r"(?:$|\W)")))).otherwise(False)
     plain = F.regexp_like(key, F.lit("^[0-9]+$")) & _bounded(key, low)
-    return joined.withColumn("hit", F.when(F.coalesce(F.col(hidden), F.lit("")) != "", by_form | plain | loose)).drop("_key", "forms")
+    return joined.withColumn("hit", F.when(F.coalesce(F.col(hidden), F.lit("")) != "", by_form | plain | loose)).drop("_key", "_large", "forms")
 
 
 def number_values(text: Column) -> Column:
