@@ -116,18 +116,18 @@ def filter_bits(windows: DataFrame, log2_bits: int = 24) -> np.ndarray:
     return bits
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, log2_bits: int = 24) -> tuple[DataFrame, DataFrame]:
+def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, least_item: int = 1, log2_bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """Which words of which documents stand in a passage of the benchmark.
 
     Returns two tables: one row per row of ``documents`` (row, id, n_words, n_hit,
     n_items, items) and one row per maximal hit span (row, id, first_word, end_word).
-    ``row`` tells repeated ids apart; ``items`` holds distinct item ids as strings, sorted.
+    Items of fewer words than ``least_item`` don't count. ``row`` tells repeated ids apart; ``items`` holds distinct item ids as strings, sorted.
 
     Null and empty texts have no words and are never hit; a null item id counts as the
     item ''. Ties and repeated rows are judged one by one, an empty benchmark hits
     nothing, other columns are ignored.
     """
-    windows = benchmark_windows(benchmark, item_col, item_text_col, span)
+    windows = benchmark_windows(benchmark, item_col, item_text_col, span).where(F.col("n") >= min(least_item, span))
     short = sorted(r[0] for r in windows.select("n").distinct().collect() if r[0] < span)  # at most span - 1 lengths
     judge = _document_windows(span, short, filter_bits(windows, log2_bits))
     seen = documents.select(F.col(id_col).alias("id"), judge(bytes_of(F.col(text_col))).alias("w"))
@@ -156,15 +156,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     return judged, spans
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, least_item: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``documents`` of whose words no more than ``max_share`` are hit, with all their columns.
 
     Equal texts are judged alike, so texts to drop are told by a 128-bit digest and no copy of
-    the documents is needed. ``id_col`` isn't looked at.
+    the documents is needed. Items of fewer words than ``least_item`` don't count, since they
+    stand in clean texts by chance. ``id_col`` isn't looked at.
     """
     high, low = temporary(documents, "high", "low")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = documents.withColumns({high: F.xxhash64(text), low: F.xxhash64(F.lit(1), text)})
-    judged, _ = contamination(marked.select(F.struct(F.col(high).alias("h"), F.col(low).alias("l")).alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", text_col="text", **options)
+    judged, _ = contamination(marked.select(F.struct(F.col(high).alias("h"), F.col(low).alias("l")).alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", text_col="text", least_item=least_item, **options)
     bad = judged.where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col("id.h").alias(high), F.col("id.l").alias(low)).distinct()
     return marked.join(stored(bad, "bad"), [high, low], "left_anti").drop(high, low)
