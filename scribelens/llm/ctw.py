@@ -36,6 +36,8 @@ END = 0xFF
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LONGEST_WORD = 64
+#: Bytes of text that are worked on together; the arrays take some 70 bytes for each.
+PIECE = 1 << 20
 
 
 def padded(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def _counts(depth: int, most: int = 300_000):
             return keys, np.bincount(where, weights=np.concatenate(times)).astype(np.int64)
 
         for batch in batches:
-            for texts in pieces(batch.column(0)):
+            for texts in pieces(batch.column(0), PIECE):
                 data, at = flat(texts)
                 found = data.tobytes()
                 for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -254,7 +256,7 @@ def _scorer(model, frequent):
         tree, known = model.value, frequent.value
         for batch in batches:
             out = []
-            for texts in pieces(batch):
+            for texts in pieces(batch, PIECE):
                 data, at = flat(texts)
                 found = data.tobytes()
                 tokens, hits, base, rare, lengths, times = [], [], [], [], [], []
