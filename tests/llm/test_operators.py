@@ -202,6 +202,17 @@ def test_similar_texts(spark):
     assert sorted(r[0] for r in kept) == [0, *range(12, 18)]
 
 
+def test_cut_and_appended_copies(spark):
+    # copies that lose their tail or get one, at a similarity of 0.81 to 0.95
+    texts = []
+    for i in range(60):
+        base = words(5000 + i, 204).split(" ")
+        near = round(200 * (0.81 + 0.0024 * i))
+        texts += [" ".join(base), " ".join(base[: near + 4]) if i % 2 else " ".join([*base, *words(6000 + i, 200 * 200 // near - 200).split(" ")])]
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == set(range(0, 120, 2))
+
+
 def test_classifier_learns():
     good = [words(i, 60).encode() for i in range(150)]
     bad = [("menu | " * (10 + i % 30)).encode() if i % 2 else words(500 + i, 40).upper().replace(" ", "!! ").encode() for i in range(150)]
