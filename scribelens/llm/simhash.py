@@ -17,6 +17,7 @@ group grows with the data, and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -221,15 +222,95 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"))
 
 
-def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
+def _within(groups: DataFrame, bucket: int) -> DataFrame:
+    """All pairs (a, b), a < b, within the groups of at most ``bucket`` nodes."""
+    few = groups.where(F.col("n") <= bucket).select("band", "key", "node")
+    pairs = few.alias("l").join(few.alias("r"), ["band", "key"]).where("l.node < r.node")
+    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b), a < b, that can reach ``similarity``: two such sets share one of the rarest shingles of each, of which the rest is too few."""
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
+    most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
+    prefix = stored(ranked.select("id", "n", F.inline(F.slice("ranked", 1, most))).where("often > 1").select("id", "n", "shingle"), "prefix")
+    fits = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity - 1e-6
+    pairs = prefix.alias("l").join(prefix.alias("r"), "shingle").where((F.col("l.id") < F.col("r.id")) & fits)
+    out = stored(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "pairs")
+    release(prefix)
+    return out
+
+
+def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, rounds: int = 3) -> DataFrame:
+    """Edges (a, b), each alike, that connect all pairs within a group (band, key, node, n: its size) that are alike; takes ``groups`` over.
+
+    Groups of at most ``bucket`` texts are compared pair by pair. In a larger one all are
+    compared with an owner: those like it leave the group, being linked, and the rest is a
+    group of its own. As 1 - J is a metric, a text that stays and is alike to one that left
+    has at least 2 * similarity - 1 in common with the owner; such texts, where nothing else
+    has linked them to the owner, are compared with all that left. What is still large after
+    some rounds is many texts unlike each other: they are paired by their rarest shingles.
+    """
+    floor = 2 * similarity - 1 - 1e-9
+    pairs, near = [], []
+    for i in range(rounds):
+        pairs.append(stored(_within(groups, bucket), "pairs"))
+        large = groups.where(F.col("n") > bucket).select("band", "key", "node")
+        if large.isEmpty():
+            break
+        # a few different owners, so that a family is linked by more than one star
+        first = F.min(F.struct(F.xxhash64("node", F.col("band") % 4, F.lit(i)).alias("h"), "node"))
+        owners = stored(large.groupBy("band", "key").agg(first.alias("o")).select("band", "key", F.col("o.node").alias("owner")), "owners")
+        star = stored(large.join(owners, ["band", "key"]).where("node <> owner"), "star")
+        seen = stored(_similarities(star.select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct(), sets).where(F.col("j") >= floor), "near")
+        near.append(seen)
+        left = stored(star.join(seen.where(F.col("j") >= similarity).select(F.col("a").alias("owner"), F.col("b").alias("node")), ["owner", "node"], "left_anti").select("band", "key", "node"), "left")
+        counts = stored(left.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        rest = stored(left.join(counts, ["band", "key"]), "groups")
+        release(owners, star, left, counts, groups)
+        groups = rest
+    else:
+        pairs.append(stored(_within(groups, bucket), "pairs"))
+        rest = stored(groups.where(F.col("n") > bucket).select(F.col("node").alias("id")).distinct(), "rest")
+        if not rest.isEmpty():
+            pairs.append(_prefix_pairs(sets.join(rest, "id", "left_semi"), similarity))
+        release(rest)
+    release(groups)
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    alike = _similarities(union(pairs).distinct(), sets).where(F.col("j") >= similarity).select("a", "b")
+    if near:
+        seen = union(near)
+        linked = seen.where(F.col("j") >= similarity)
+        alike = stored(alike.unionByName(linked.select("a", "b")), "alike")
+        roots = stored(components(alike), "roots")
+        # a text of no edge is its own root
+        fringe = seen.where(F.col("j") < similarity).join(roots.toDF("a", "root"), "a", "left").join(roots.toDF("b", "other"), "b", "left")
+        fringe = stored(fringe.where(F.coalesce("root", "a") != F.coalesce("other", "b")).select("a", "b", "j"), "fringe")
+        release(roots)
+        if not fringe.isEmpty():
+            inner = linked.select("a", F.col("b").alias("c"), F.col("j").alias("k")).distinct()
+            cross = fringe.join(inner, "a").where(F.col("k") <= F.col("j") + (1 - similarity) + 1e-9).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+            both = stored(alike.unionByName(_similarities(cross, sets).where(F.col("j") >= similarity).select("a", "b")), "alike")
+            release(alike)
+            alike = both
+        release(fringe, *near)
+    else:
+        alike = stored(alike, "alike")
+    release(*pairs)
+    return alike
+
+
+def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 32) -> DataFrame:
     """(id, component) of every row: rows are linked if their word-shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Candidates come from the shingles themselves, so that only the similarity counts and not
     the kind of edit: each text has ``bands`` keys, each made of the smallest hashes of its
     shingles under ``rows`` orders (MinHash). Texts at similarity J share a given key with a
     chance of J^rows, so a pair at 0.8 is missed with (1 - 0.8^4)^24 = 3 in a million, one at
-    0.9 never in practice. Each candidate is checked by its exact shingles. Texts with the
-    same words are one group before that.
+    0.9 never in practice. Candidates are checked by their exact shingles, and within a key no
+    link is lost (see :func:`_links`). Texts with the same words are one group before that.
 
     ``component`` is the smallest id reachable. Ids must be comparable and not null; texts
     without words are copies of each other.
@@ -238,13 +319,14 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     signed = stored(texts_in.select("id", _signatures(words, bands, rows)(F.col("text")).alias("s")).select("id", "s.*"), "signed")
     texts = stored(signed.groupBy("high", "low").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands")), "texts")
     keys = stored(texts.select("node", F.posexplode("bands").alias("band", "key")), "keys")
-    owners = stored(keys.groupBy("band", "key").agg(F.min("node").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "owners")
-    pairs = stored(keys.join(owners, ["band", "key"]).where("node <> owner").select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    release(keys, owners)
-    ends = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
+    counts = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    groups = stored(keys.join(counts, ["band", "key"]), "groups")
+    release(keys, counts)
+    ends = stored(groups.select(F.col("node").alias("id")).distinct(), "ends")
     sets = stored(texts_in.join(ends, "id", "left_semi").select("id", _shingler(words)(F.col("text")).alias("shingles")), "shingles")
-    alike = stored(_similarities(pairs, sets).where(F.col("j") >= similarity).select("a", "b"), "alike")
-    release(pairs, ends, sets)
+    release(ends)
+    alike = _links(groups, sets, similarity, bucket)
+    release(sets)
     roots = stored(components(alike), "roots")
     named = texts.join(roots.withColumnRenamed("root", "component"), "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from scribelens.llm import ctw, decontaminate, license_scan, mixing, quality_cnn, quality_rules, secrets, simhash, substring_dedup, url_filter
-from scribelens.llm.common import held_out
+from scribelens.llm.common import held_out, stored
 
 from .fixtures import cluttered, documents, empty, rows, words
 
@@ -202,6 +202,17 @@ def test_similar_texts(spark):
     assert sorted(r[0] for r in kept) == [0, *range(12, 18)]
 
 
+@pytest.mark.parametrize("bucket", [3, 32])
+def test_similar_groups_lose_no_link(spark, bucket):
+    # texts that share every key: links within a hot group don't all go through its smallest text
+    sets = {0: range(0, 20), 1: range(10, 30), 2: range(11, 30), 3: range(12, 29), 4: range(40, 60), 5: range(41, 60), 6: range(41, 62), 7: range(43, 63), 8: [*range(0, 16), *range(70, 74)], 9: [*range(0, 17), *range(70, 72)], 10: [*range(2, 17), *range(70, 75)], **{i: [*range(0, 10), *range(100 * i, 100 * i + 4)] for i in range(11, 20)}}
+    table = spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "id bigint, shingles array<bigint>")
+    groups = spark.createDataFrame([(band, 0, i, len(sets)) for band in range(2) for i in sets], "band int, key bigint, node bigint, n bigint")
+    alike = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    edges = {(min(r), max(r)) for r in simhash._links(stored(groups, "groups"), table, 0.8, bucket).select("a", "b").collect()}
+    assert edges <= alike and unions(edges, sets) == unions(alike, sets) and len(set(unions(alike, sets).values())) > 10
+
+
 def test_cut_and_appended_copies(spark):
     # copies that lose their tail or get one, at a similarity of 0.81 to 0.95
     texts = []
@@ -213,6 +224,21 @@ def test_cut_and_appended_copies(spark):
     assert {r["doc_id"] for r in kept} == set(range(0, 120, 2))
 
 
+def test_owner_unlike_both(spark):
+    # many texts share keys with text 0 only in part; 1 and 2 of each family are alike, whatever 0 is
+    shared = words(7000, 60)
+    texts = [shared + " " + words(7001, 60)]
+    for i in range(8):
+        own = words(7100 + i, 45).split(" ")
+        texts += [shared + " " + " ".join(own), shared + " " + " ".join([*own[:-1], "other"])]
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bands=1, rows=1, bucket=3).select("doc_id").collect()
+    common = [{tuple(t.split(" ")[i : i + 5]) for i in range(len(t.split(" ")) - 4)} for t in texts]
+    key = simhash._signatures(5, 1, 1)
+    keys = [r[0] for r in spark.createDataFrame([(t.encode(),) for t in texts], "text binary").select(key("text")["bands"][0]).collect()]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if keys[a] == keys[b] and len(common[a] & common[b]) >= 0.8 * len(common[a] | common[b])]
+    assert {r["doc_id"] for r in kept} == set(unions(alike, range(len(texts))).values()) and max(Counter(keys).values()) > 6
+
+
 def test_classifier_learns():
     good = [words(i, 60).encode() for i in range(150)]
     bad = [("menu | " * (10 + i % 30)).encode() if i % 2 else words(500 + i, 40).upper().replace(" ", "!! ").encode() for i in range(150)]
