@@ -334,15 +334,15 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     return signed.select("id", "high", "low").join(named, ["high", "low"]).select("id", "component")
 
 
-def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: bool = False, **options) -> DataFrame:
+def deduplicated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group of similar texts (see :func:`similar_groups`), the one with the smallest id, with all its columns.
 
     Rows that share an id are told apart by their place; a row without an id stays only where
-    its group has no other. Null and empty texts are one group. The input is stored first,
-    so that places stay the same, unless it is a plain ``table`` read from files already.
+    its group has no other. Null and empty texts are one group. The input is stored with its
+    places, since another scan may split its files elsewhere and count otherwise.
     """
     (row,) = temporary(documents, "row")
-    numbered = (documents if table else stored(documents, "documents")).withColumn(row, F.monotonically_increasing_id())
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
     groups = similar_groups(numbered, id_col=row, text_col=text_col, **options)
     rank = F.struct(F.col("i").isNull().alias("none"), "i", "id")
     members = stored(groups.join(numbered.select(F.col(row).alias("id"), F.col(id_col).alias("i")), "id").select("component", "id", rank.alias("rank")), "members")

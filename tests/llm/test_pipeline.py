@@ -38,3 +38,21 @@ def test_stages(spark, tmp_path):
     mixed = corpus_pipeline.STAGES[-1][1](spark, kept, folder).collect()
     assert {r["doc_id"] for r in mixed} <= set(left["secret_scan"]) and max(r["copy"] for r in mixed) <= 3
     assert corpus_pipeline.run(spark, folder).count() == len(mixed)
+
+
+def test_near_duplicates_keep_their_rows(spark, tmp_path):
+    # the files are split otherwise when the result is read than when the groups were found
+    texts = [words(7000 + i // 2, 80) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents"))
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    old = spark.conf.get(size), spark.conf.get(cost)
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "documents")), "")
+        spark.conf.set(size, "4k")
+        spark.conf.set(cost, "4k")
+        found = {r["doc_id"] for r in kept.select("*").collect()}
+    finally:
+        spark.conf.set(size, old[0])
+        spark.conf.set(cost, old[1])
+    assert found == set(range(0, 200, 2))
