@@ -63,7 +63,7 @@ def _item_windows(span: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for texts in pieces(batch):
+            for texts in pieces(batch, 1 << 20):
                 _, _, _, at, hashes = words(*flat(texts))
                 lengths = np.diff(at)
                 found = [(*_windows(hashes, at, span, span), span)]
@@ -85,7 +85,7 @@ def _document_windows(span: int, short: list[int], bits: np.ndarray):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for texts in pieces(batch):
+            for texts in pieces(batch, 1 << 20):
                 _, _, _, at, hashes = words(*flat(texts))
                 found = []
                 for n in [*short, span]:
