@@ -69,7 +69,8 @@ def repeated(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``row`` tells repeated ids apart; first and end are offsets in code points, end
     exclusive; kept_id and kept_first say where the unit stays. Ids rank in order, null
     last, then rows by their place in the table, then offsets, so of repeated rows and ties
-    all but one are reported. Units of under ``least_words`` words stay. Null and empty texts
+    all but one are reported. Units of under ``least_words`` words stay; with 1 every unit that has a word counts, so
+    that a repeated passage of short sentences goes as a whole. Null and empty texts
     have no units; other columns are ignored; no rows give no rows.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _units(least_words, sentences)(F.col(text_col).cast("string")).alias("units"))

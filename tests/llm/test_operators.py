@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scribelens.llm import ctw, decontaminate, license_scan, mixing, quality_cnn, quality_rules, secrets, simhash, substring_dedup, url_filter
+from scribelens.llm import ctw, decontaminate, license_scan, mixing, quality_cnn, quality_rules, queries, secrets, simhash, substring_dedup, url_filter
 from scribelens.llm.common import held_out, stored
 
 from .fixtures import cluttered, documents, empty, rows, words
@@ -76,6 +76,18 @@ def test_substring(spark):
     assert words(2, 60) in texts[4] and words(2, 60) not in texts[5] and words(5, 30) in texts[5]
 
 
+def test_short_units(spark, tmp_path):
+    # a short footer line, and a passage of 60 words in sentences of five within differing lines
+    passage = " ".join(words(8000 + i, 5) + "." for i in range(12))
+    texts = [f"{words(8100 + i, 20)}. {passage} {words(8200 + i, 20)}.\nHome | About\n" for i in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op1_substring_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in found} == {1}
+    gone = {i for r in found for i in range(r["start"], r["end"])}
+    begin, line = texts[1].index(passage), texts[1].index("Home")
+    assert gone >= {*range(begin, begin + len(passage)), *range(line, line + 12)} and not gone & {*range(begin), *range(begin + len(passage) + 1, line)}
+
+
 def test_urls(spark):
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
     urls = ["http://a.example.com/en/12", "https://EXAMPLE.com/en/71?x", "http://net/de/1", "http://x.example.net/de/8#t", "http://xnet/de/1", "http://org/es/", "nothing", None, "http://b.org/es"] + [f"http://s.org/bad/{i}/x" for i in range(40)] + [f"http://s.org/good/{i}/x" for i in range(40)]
