@@ -4,17 +4,19 @@ A byte is eight binary decisions; each decision in each context (the bytes befor
 ``depth``) has a Krichevsky-Trofimov estimator. The tree's weights mix, at every context,
 stopping there against splitting by one more byte, so a prediction is a mixture over all
 depths. Block probabilities of KT estimators depend on counts alone, so training is one
-distributed count of byte n-grams over all training texts, and what remains is done on the
-counts.
+distributed count of byte n-grams (a context and the byte after it) over all training texts.
 
-The tree's capacity is a parameter: at each depth the ``contexts`` most frequent contexts
-are nodes (by a threshold on their counts), and all other contexts of a node form one more
-leaf of it with their own counts, so the leaves always partition all training bytes. The
-model that executors get has at most 256 + depth * contexts rows of 256 numbers, whatever
-the corpus.
+The tree has every context of the corpus and lives in stored tables, never in one place:
 
-The same pass counts words for the unigram base score. Frequent words (``frequent`` at most,
-of 64 bytes at most) are looked up in place; all others are joined by word.
+* upwards, subtrees below contexts of ``depth - 2`` bytes are weighted where they lie
+  together, then those below two bytes; what is left for the driver are the contexts of two
+  bytes at most, 2**16 of them by 255 decisions in any corpus;
+* downwards the same cuts hand each subtree what the contexts above give to its decisions,
+  and every n-gram that occurs in any document, learned or not, gets its probability.
+
+Documents are then scored by n-gram. The ``common`` most frequent n-grams and ``frequent``
+most frequent words are looked up in place, all others are joined; both numbers bound what is
+broadcast and change no result.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bytes_of, flat, pieces, stored
+from .common import bytes_of, flat, pieces, release, stored
 
 #: Ends every text and fills the context before its first byte; never part of UTF-8.
 END = 0xFF
@@ -37,188 +40,270 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LONGEST_WORD = 64
 #: Bytes of text that are worked on together; the arrays take some 70 bytes for each.
-PIECE = 1 << 20
+PIECE = 1 << 19
+LOG2 = math.log(2)
+
+
+def codes(data: np.ndarray, at: np.ndarray, depth: int, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each byte of each text, and its end, the n-gram as a number: the byte lowest, above it the byte farthest before it, and so on to the nearest.
+
+    Yields codes and the text of each, for all texts at once or, for one long text, for parts of it.
+    """
+    for first in range(0, max(1, len(data)), most) if len(at) == 2 else (0,):
+        last = first + most >= len(data) or len(at) > 2
+        if len(at) == 2:
+            before = max(0, first - depth)
+            part = data[before : len(data) if last else first + most]
+            text = np.full(depth - (first - before) + len(part) + last, END, np.uint8)
+            text[depth - (first - before) :][: len(part)] = LOWER[part]
+            places = np.arange(depth, len(text))
+            of = np.zeros(len(places), np.int64)
+        else:
+            lengths = np.diff(at)
+            text = np.full(len(data) + len(lengths) * (depth + 1), END, np.uint8)
+            text[np.arange(len(data)) + np.repeat(np.arange(len(lengths)) * (depth + 1) + depth, lengths)] = LOWER[data]
+            of = np.repeat(np.arange(len(lengths)), lengths + 1)
+            places = np.arange(len(of)) + (of + 1) * depth
+        whole = np.zeros(len(text) - depth, np.int64)
+        for d in range(1, depth + 1):
+            whole |= text[depth - d : len(text) - d].astype(np.int64) << (8 * (depth - d + 1))
+        whole |= text[depth:]
+        yield whole[places - depth], of
+
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[cuts], np.diff(np.append(cuts, len(values)))
 
-def padded(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased texts, each after ``depth`` end bytes and before one; the places of the bytes to predict; where each text's places start."""
-    lengths = np.diff(at)
-    out = np.full(len(data) + len(lengths) * (depth + 1), END, np.uint8)
-    shift = np.repeat(np.arange(len(lengths)) * (depth + 1) + depth, lengths)
-    out[np.arange(len(data)) + shift] = LOWER[data]
-    places = np.arange(len(data) + len(lengths)) + np.repeat((np.arange(len(lengths)) + 1) * depth, lengths + 1)
-    return out, places, at[:-1] + np.arange(len(lengths))
 
+_COUNTS = "gram bigint, word binary, n bigint"
 
-def codes(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """For each place its context and byte as one number; the byte is lowest, then the byte before it and so on."""
-    whole = np.zeros(len(text), np.uint64)
-    for d in range(depth + 1):
-        whole[depth:] |= text[depth - d : len(text) - d].astype(np.uint64) << np.uint64(8 * d)
-    return whole[places]
 
+def _counts(depth: int, most: int = 500_000, most_words: int = 100_000):
+    """Partial counts of (text, whether it is learned from) rows; n-grams of other texts come with 0."""
 
-def _counts(depth: int, most: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        grams: list[np.ndarray] = []
-        times: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows(kind, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), keys, pa.array(n, pa.int64())], names=["kind", "key", "n"])
+        def rows(grams=None, found=None, n=()):
+            size = len(n)
+            columns = [pa.nulls(size, pa.int64()) if grams is None else pa.array(grams), pa.nulls(size, pa.binary()) if found is None else pa.array(found, pa.binary()), pa.array(n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "word", "n"])
 
-        def word_rows():
-            yield rows(0, pa.array(list(words.keys()), pa.binary()), list(words.values()))
-            words.clear()
-
-        def merged():
-            keys, where = np.unique(np.concatenate(grams), return_inverse=True)
-            return keys, np.bincount(where, weights=np.concatenate(times)).astype(np.int64)
+        def merge():
+            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            parts[:] = [(keys, np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64))]
 
         for batch in batches:
-            for texts in pieces(batch.column(0), PIECE):
-                data, at = flat(texts)
-                found = data.tobytes()
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    words.update(found[i:j].lower().split())
-                words[b"\n"] += len(texts)  # the end token; no word has a line break
-                text, places, _ = padded(data, at, depth)
-                sorted_ = np.sort(codes(text, places, depth))
-                cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                grams.append(sorted_[cuts])
-                times.append(np.diff(np.append(cuts, len(sorted_))))
-                if len(words) > most:
-                    yield from word_rows()
-                if sum(map(len, grams)) > 4 * most:
-                    keys, n = merged()
-                    grams, times = [keys], [n]
-                    if len(keys) > 2 * most:
-                        yield rows(1, pa.array([x.to_bytes(8, "big") for x in keys.tolist()], pa.binary()), n)
-                        grams, times = [], []
+            for learned in (True, False):
+                for texts in pieces(batch.column(0).filter(pc.equal(batch.column(1), learned)), PIECE):
+                    data, at = flat(texts)
+                    if learned:
+                        found = data.tobytes()
+                        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                            words.update(found[i:j].lower().split())
+                        words[b"\n"] += len(texts)  # the end token; no word has a line break
+                    for grams, _ in codes(data, at, depth):
+                        keys, n = _counted(grams)
+                        parts.append((keys, n if learned else np.zeros(len(keys), np.int64)))
+                    if sum(len(k) for k, _ in parts) > 2 * most:
+                        merge()
+                        if len(parts[0][0]) > most:
+                            yield rows(parts[0][0], None, parts[0][1])
+                            parts.clear()
+                    if len(words) > most_words:
+                        yield rows(None, list(words), list(words.values()))
+                        words.clear()
         if words:
-            yield from word_rows()
-        if grams:
-            keys, n = merged()
-            yield rows(1, pa.array([x.to_bytes(8, "big") for x in keys.tolist()], pa.binary()), n)
+            yield rows(None, list(words), list(words.values()))
+        if parts:
+            merge()
+            yield rows(parts[0][0], None, parts[0][1])
 
     return run
 
 
+# ------------------------------------------------------------------ the tree
+#
+# A level of the tree is arrays over (context, decision) pairs: key = context << 8 | decision,
+# zeros and ones seen, and the logarithm of the weighted block probability. Contexts are
+# written with the nearest byte highest, so a context without its farthest byte is a shift.
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     shift = np.ones_like(x)
     for i in range(8):
-        shift = shift * (x + i)
-    y = x + 8
+        shift = shift * np.where(x < 64, x + i, 1.0)
+    y = np.where(x < 64, x + 8, x)
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 decisions of a byte (decision i has 2i and 2i+1 below it)."""
-    sums = np.zeros((len(counts), 512))
-    sums[:, 256:] = counts
-    for i in range(255, 0, -1):
-        sums[:, i] = sums[:, 2 * i] + sums[:, 2 * i + 1]
-    return sums[:, 2:512:2], sums[:, 3:512:2]
+def log_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log block probability by KT."""
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1)
 
 
-def _log_block(counts: np.ndarray) -> np.ndarray:
-    """Log block probability by KT at each decision."""
-    zeros, ones = _bits(counts)
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1)
+class Level:
+    """(context, decision) pairs of one depth, sorted by key."""
 
+    def __init__(self, key, zeros, ones, weighted, stop, at):
+        self.key, self.zeros, self.ones, self.weighted, self.stop, self.at = key, zeros, ones, weighted, stop, at
 
-def _next_one(counts: np.ndarray) -> np.ndarray:
-    """Probability of a one by KT at each decision."""
-    zeros, ones = _bits(counts)
-    return (ones + 0.5) / (zeros + ones + 1)
+    def next_one(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1)
 
+    def up(self) -> Level:
+        """The level above; ``at`` of the new one says where each of these pairs has gone."""
+        key, at = np.unique((self.key >> 16 << 8) | (self.key & 255), return_inverse=True)
+        zeros, ones, split = (np.bincount(at, weights=x, minlength=len(key)) for x in (self.zeros, self.ones, self.weighted))
+        own = log_block(zeros, ones)
+        both = np.logaddexp(own, split) - LOG2
+        return Level(key, zeros, ones, both, np.exp(np.minimum(own - LOG2 - both, 0.0)), at)
 
-def _parts(n: int, most: int = 2048):
-    return (slice(i, min(i + most, n)) for i in range(0, n, most))
 
+_PATH = np.arange(8)
 
-class Model:
-    """The tree's nodes: ``child[node, byte before]`` (-1: none) and ``score[node, byte]`` (log10 probability)."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels``: for each depth the sorted contexts and their counts by byte; depth 0 has the one context 0.
+def leaves(grams: np.ndarray, n: np.ndarray) -> Level:
+    """The deepest level, of n-grams and their counts; ``at`` has a row of eight pairs for each n-gram."""
+    nodes = (grams >> 8 << 8)[:, None] | ((256 + (grams & 255))[:, None] >> (8 - _PATH))
+    key, at = np.unique(nodes, return_inverse=True)
+    at = at.reshape(nodes.shape)
+    ones = ((grams[:, None] >> (7 - _PATH)) & 1) * n[:, None]
+    one = np.bincount(at.ravel(), weights=ones.ravel(), minlength=len(key))
+    zero = np.bincount(at.ravel(), weights=(n[:, None] - ones).ravel(), minlength=len(key))
+    own = log_block(zero, one)
+    return Level(key, zero, one, own, np.ones(len(key)), at)
+
+
+def chain(level: Level, steps: int) -> list[Level]:
+    """``level`` and as many levels above it."""
+    out = [level]
+    for _ in range(steps):
+        out.append(out[-1].up())
+    return out
+
+
+def descended(levels: list[Level], given: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What all depths down to ``levels[0]`` give to its pairs, and the weight left below; ``given`` and ``left`` are those of ``levels[-1]``."""
+    for upper, lower in zip(levels[::-1], levels[-2::-1], strict=False):
+        g, w = given[upper.at], left[upper.at]
+        given, left = g + w * lower.stop * lower.next_one(), w * (1 - lower.stop)
+    return given, left
+
+
+def top(level: Level, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`descended` from the root for a level of ``depth`` bytes."""
+    levels = chain(level, depth)
+    root = levels[-1]
+    return descended(levels, root.stop * root.next_one(), 1 - root.stop)
+
+
+def log_scores(grams: np.ndarray, level: Level, given: np.ndarray) -> np.ndarray:
+    """Log10 probability of each n-gram's byte by the probabilities of a one at the deepest level."""
+    p = np.clip(given[level.at], 1e-12, 1 - 1e-12)
+    return np.log10(np.where((grams[:, None] >> (7 - _PATH)) & 1, p, 1 - p)).sum(axis=1)
+
+
+_ROW = "group bigint, kind int, key bigint, a double, b double, c double"
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows that come group by group, in runs of whole groups of some ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    arrays = lambda t: {name: t[name].to_numpy() for name in t.column_names}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            table = pa.Table.from_batches(held)
+            group = table["group"].to_numpy()
+            end = int(np.searchsorted(group != group[-1], False)) if group[0] == group[-1] else int(np.flatnonzero(group != group[-1])[-1]) + 1
+            if end:
+                yield arrays(table.slice(0, end))
+            held = table.slice(end).combine_chunks().to_batches()
+    if held:
+        yield arrays(pa.Table.from_batches(held))
 
-        Work arrays beyond the counts are two single-precision numbers for each node and
-        decision of neighbouring depths, and pieces of 2048 nodes.
-        """
-        depth = len(levels) - 1
-        first = np.concatenate([[0], np.cumsum([len(k) for k, _ in levels])])
-        self.depth, n = depth, int(first[-1])
-        self.child = np.full((n, 256), -1, np.int32)
-        parent = [np.zeros(1, np.int64)]
-        for d in range(1, depth + 1):
-            keys = levels[d][0]
-            parent.append(np.searchsorted(levels[d - 1][0], keys & np.uint64((1 << (8 * (d - 1))) - 1)))
-            self.child[first[d - 1] + parent[d], (keys >> np.uint64(8 * (d - 1))).astype(np.int64)] = first[d] + np.arange(len(keys))
-
-        def rest(d: int, part: slice) -> np.ndarray:
-            """Counts of a node's contexts that aren't nodes."""
-            left = levels[d][1][part].copy()
-            lo, hi = np.searchsorted(order[d + 1], [part.start, part.stop])
-            np.subtract.at(left, order[d + 1][lo:hi] - part.start, levels[d + 1][1][by_parent[d + 1][lo:hi]])
-            return left
-
-        by_parent = [None] + [np.argsort(parent[d], kind="stable") for d in range(1, depth + 1)]
-        order = [None] + [parent[d][by_parent[d]] for d in range(1, depth + 1)]
-        # upwards: block probabilities, and from them the weight of stopping at a node
-        stop, below = [None] * (depth + 1), None
-        for d in range(depth, -1, -1):
-            size = len(levels[d][0])
-            stop[d], weighted = np.ones((size, 255), np.float32), np.empty((size, 255))
-            for part in _parts(size):
-                own = _log_block(levels[d][1][part])
-                weighted[part] = own
-                if d == depth or not len(levels[d + 1][0]):
-                    continue
-                lo, hi = np.searchsorted(order[d + 1], [part.start, part.stop])
-                split = _log_block(rest(d, part))
-                np.add.at(split, order[d + 1][lo:hi] - part.start, below[by_parent[d + 1][lo:hi]])
-                inner = np.unique(order[d + 1][lo:hi]) - part.start
-                both = np.logaddexp(own[inner], split[inner]) - math.log(2)
-                weighted[part.start + inner] = both
-                stop[d][part.start + inner] = np.exp(np.minimum(own[inner] - math.log(2) - both, 0.0))
-            below = weighted
-        del below, weighted
-        # downwards: what the depths above give to a decision, and the weight that is left below them
-        self.score = np.zeros((n, 256), np.float32)
-        byte = np.arange(256)
-        given, left = np.zeros((1, 255)), np.ones((1, 255))
-        for d in range(depth + 1):
-            size = len(levels[d][0])
-            new_given, new_left = np.empty((size, 255)), np.empty((size, 255))
-            for part in _parts(size):
-                up, weight = parent[d][part], stop[d][part]
-                new_given[part] = given[up] + left[up] * weight * _next_one(levels[d][1][part])
-                new_left[part] = left[up] * (1 - weight)
-                # a node's row is where a context ends that has no deeper node
-                ends = _next_one(rest(d, part)) if d < depth and len(levels[d + 1][0]) else 0.5
-                p = np.clip(new_given[part] + new_left[part] * ends, 1e-12, 1 - 1e-12)
-                total = np.zeros((len(p), 256))
-                for level in range(8):
-                    node, bit = ((256 + byte) >> (8 - level)) - 1, (byte >> (7 - level)) & 1
-                    total += np.log10(np.where(bit, p[:, node], 1 - p[:, node]))
-                self.score[first[d] + part.start : first[d] + part.stop] = total
-            given, left = new_given, new_left
-
-    def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text with its end."""
-        text, places, starts = padded(data, at, self.depth)
-        # all places of the padded texts at once, so that shifts are slices
-        size = len(text) - self.depth
-        node = np.zeros(size, np.int32)
-        on = np.ones(size, bool)
-        flat_child, flat_score = self.child.ravel(), self.score.ravel()
-        for d in range(1, self.depth + 1):
-            below = flat_child.take((node << 8) + text[self.depth - d : len(text) - d])
-            on &= below >= 0
-            np.copyto(node, below, where=on)
-        each = flat_score.take((node << 8) + text[self.depth :])[places - self.depth].astype(np.float64)
-        return np.add.reduceat(each, starts) if len(starts) else np.zeros(0)
+
+def _level_of(x: dict[str, np.ndarray], of_grams: bool) -> Level:
+    if of_grams:
+        return leaves(x["key"], x["a"])
+    own = log_block(x["a"], x["b"])
+    return Level(x["key"], x["a"], x["b"], x["c"], np.exp(np.minimum(own - LOG2 - x["c"], 0.0)), None)
+
+
+def _upwards(steps: int, of_grams: bool):
+    """Rows of a level (or n-grams) to the level ``steps`` above."""
+
+    def run(batches):
+        for x in _whole_groups(batches):
+            out = chain(_level_of(x, of_grams), steps)[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (out.key, out.zeros, out.ones, out.weighted)], names=["key", "a", "b", "c"])
+
+    return run
+
+
+def _downwards(steps: int, of_grams: bool):
+    """What the level ``steps`` above is given (kind 0) and rows of a level (kind 1) to what that level is given, or to scores of n-grams."""
+
+    def run(batches):
+        for x in _whole_groups(batches):
+            above, own = ({k: v[x["kind"] == kind] for k, v in x.items()} for kind in (0, 1))
+            levels = chain(_level_of(own, of_grams), steps)
+            where = np.searchsorted(above["key"], levels[-1].key)
+            given, left = descended(levels, above["a"][where], above["b"][where])
+            columns = [own["key"], log_scores(own["key"], levels[0], given), own["a"]] if of_grams else [own["key"], given, left]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["key", "a", "b"])
+
+    return run
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group").sortWithinPartitions("group", "kind", "key")
+
+
+def scores_of(grams: DataFrame, depth: int) -> DataFrame:
+    """(gram, score, n): the log10 probability of each row's byte in its context, by the tree over all rows (gram, n); stored.
+
+    A row with n = 0 has no part in the tree. Shuffles are by contexts of ``depth - 2`` bytes,
+    below which there are at most 2**24 n-grams, and by contexts of two bytes.
+    """
+    spark = grams.sparkSession
+    lower = max(depth - 2, 0)
+    upper = min(2, lower)
+    nothing = F.lit(None).cast("double")
+    row = lambda df, kind, bytes_below, *abc: df.select(F.shiftright("key", 8 * bytes_below + 8).alias("group"), F.lit(kind).alias("kind"), "key", *(x.alias(n) for x, n in zip((*abc, nothing, nothing), "abc", strict=False)))
+    n = F.col("n").cast("double")
+    leaf = grams.withColumnRenamed("gram", "key")
+    below = stored(_grouped(row(leaf, 1, depth - lower, n)).mapInArrow(_upwards(depth - lower, True), "key bigint, a double, b double, c double"), "level")
+    level = lambda df, bytes_below: row(df, 1, bytes_below, F.col("a"), F.col("b"), F.col("c"))
+    middle = below
+    if lower > upper:
+        middle = stored(_grouped(level(below, lower - upper)).mapInArrow(_upwards(lower - upper, False), "key bigint, a double, b double, c double"), "level")
+    # at most 2**16 contexts of 255 decisions, whatever the corpus
+    whole = {k: np.asarray(v.to_numpy()) for k, v in zip("kabc", middle.sort("key").toArrow().columns, strict=True)}
+    whole["key"] = whole.pop("k")
+    given, left = top(_level_of(whole, False), upper) if len(whole["key"]) else (np.zeros(0), np.zeros(0))
+    named = stored(spark.createDataFrame(pa.table({"key": whole["key"], "a": given, "b": left}), "key bigint, a double, b double"), "given")
+    parents = lambda df, bytes_below: row(df, 0, bytes_below, F.col("a"), F.col("b"))
+    if lower > upper:
+        both = parents(named, 0).unionByName(level(below, lower - upper))
+        finer = stored(_grouped(both).mapInArrow(_downwards(lower - upper, False), "key bigint, a double, b double"), "given")
+        release(named, middle)
+        named = finer
+    both = parents(named, 0).unionByName(row(leaf, 1, depth - lower, n))
+    out = _grouped(both).mapInArrow(_downwards(depth - lower, True), "key bigint, a double, b double")
+    out = stored(out.select(F.col("key").alias("gram"), F.col("a").alias("score"), F.col("b").cast("bigint").alias("n")), "gram_scores")
+    release(named, below)
+    return out
+
+
+# ------------------------------------------------------------------ scoring
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
@@ -233,53 +318,64 @@ def _threshold(counts: DataFrame, most: int) -> int:
     return (1 << 62) if least is None else math.ceil(2 ** (least / 4) - 1e-9)
 
 
-def _level(grams: DataFrame, d: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The contexts of ``d`` bytes that are nodes, their counts by byte, and the threshold."""
-    context = F.shiftright(F.col("gram"), 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
-    by = grams.select(context.alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "n").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-    by = stored(by, "level")
-    totals = stored(by.groupBy("context").agg(F.sum("n").alias("n")), "totals")
-    least = max(least, _threshold(totals, most)) if d else 1
-    # at most ``most`` contexts of 256 bytes
-    rows = by.join(totals.where(F.col("n") >= least).select("context"), "context", "left_semi").toArrow()
-    keys, where = np.unique(rows["context"].to_numpy().astype(np.uint64), return_inverse=True)
-    if d == 0 and not len(keys):
-        keys = np.zeros(1, np.uint64)
-    counts = np.zeros((len(keys), 256))
-    counts[where, rows["byte"].to_numpy()] = rows["n"].to_numpy()
-    return keys, counts, least
-
-
-def _scorer(model, frequent):
-    @arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,rare:array<struct<word:binary,n:int>>>")
+_FOUND = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int32())])))])
+
+
+def _list(counts: np.ndarray, kind: pa.DataType, keys, n) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys, kind.value_type[0].type), pa.array(n, pa.int32())], fields=list(kind.value_type)))
+
+
+def _scorer(depth: int, frequent, common):
+    @arrow_udf("struct<n_tokens:bigint,n_known:bigint,base:double,score:double,words:array<struct<word:binary,n:int>>,grams:array<struct<gram:bigint,n:int>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tree, known = model.value, frequent.value
+        known, (keys, values) = frequent.value, common.value
+
+        def scan(texts: pa.Array) -> pa.Array:
+            data, at = flat(texts)
+            found = data.tobytes()
+            tokens, hits, base, rare, lengths, times = [], [], [], [], [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                words = found[i:j].lower().split()
+                logs = [known.get(w) for w in words]
+                others = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
+                n = sum(others.values())
+                tokens.append(len(words) + 1)
+                hits.append(len(words) - n)
+                base.append(math.fsum(x for x in logs if x is not None))
+                rare.extend(others.keys())
+                times.extend(others.values())
+                lengths.append(len(others))
+            score = np.zeros(len(texts))
+            left_of, left = [], []
+            for grams, of in codes(data, at, depth):
+                order = np.argsort(grams, kind="stable")
+                sorted_ = grams[order]
+                first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+                each = sorted_[first]
+                slot = np.minimum(np.searchsorted(keys, each), max(0, len(keys) - 1))
+                there = keys[slot] == each if len(keys) else np.zeros(len(each), bool)
+                size = np.diff(np.append(first, len(sorted_)))
+                score += np.bincount(of[order], weights=np.repeat(np.where(there, values[slot] if len(keys) else 0.0, 0.0), size), minlength=len(texts))
+                unknown = ~np.repeat(there, size)
+                left_of.append(of[order][unknown])
+                left.append(sorted_[unknown])
+            of, grams = np.concatenate(left_of), np.concatenate(left)
+            order = np.lexsort((grams, of))
+            of, grams = of[order], grams[order]
+            first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])])) if len(of) else np.zeros(0, np.int64)
+            per_text = np.bincount(of[first], minlength=len(texts))
+            lists = _list(np.array(lengths), _FOUND[4].type, rare, times), _list(per_text, _FOUND[5].type, grams[first], np.diff(np.append(first, len(of))))
+            return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score), *lists], fields=list(_FOUND))
+
         for batch in batches:
-            out = []
-            for texts in pieces(batch, PIECE):
-                data, at = flat(texts)
-                found = data.tobytes()
-                tokens, hits, base, rare, lengths, times = [], [], [], [], [], []
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    words = found[i:j].lower().split()
-                    logs = [known.get(w) for w in words]
-                    others = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                    n = sum(others.values())
-                    tokens.append(len(words) + 1)
-                    hits.append(len(words) - n)
-                    base.append(math.fsum(x for x in logs if x is not None))
-                    rare.extend(others.keys())
-                    times.extend(others.values())
-                    lengths.append(len(others))
-                words_ = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), words_)
-                out.append(pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.scores(data, at)), lists], names=["n_tokens", "n_known", "base", "score", "rare"]))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))]))
+            out = [scan(texts) for texts in pieces(batch, PIECE)]
+            yield pa.concat_arrays(out) if out else pa.array([], _FOUND)
 
     return run
 
 
-def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, contexts: int = 8192, frequent: int = 65536) -> DataFrame:
+def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, frequent: int = 65536, common: int = 1 << 19) -> DataFrame:
     """(id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     ``training`` says which rows are learned from. ``score`` is the log10 probability of the
@@ -287,38 +383,42 @@ def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", te
     add-one unigrams over the training tokens.
 
     Null and empty texts consist of their end. Without training rows every decision is even.
-    Repeated rows count as often as they stand there; other columns are ignored.
+    Repeated rows count as often as they stand there and get the same score; ties don't
+    arise. A very long text is coded in parts, only its list of words is held whole. Other
+    columns are ignored; an empty table gives no rows.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth must be from 1 to 6")
-    spark = documents.sparkSession
+    context = documents.sparkSession.sparkContext
     trained = F.coalesce(training, F.lit(False))
-    counted = documents.where(trained).select(bytes_of(F.col(text_col)).alias("text")).mapInArrow(_counts(depth), "kind int, key binary, n bigint")
-    counted = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counted.where("kind = 0").select(F.col("key").alias("word"), "n")
+    counted = documents.select(bytes_of(F.col(text_col)).alias("text"), trained.alias("learned")).mapInArrow(_counts(depth), _COUNTS)
+    counted = stored(counted.groupBy("gram", "word").agg(F.sum("n").alias("n")), "counts")
+    words = counted.where("word is not null").select("word", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = words.where(F.col("word") == F.lit(b"\n")).select("n").first()
     least = _threshold(words.where(F.length("word") <= LONGEST_WORD), frequent)
     often = words.where((F.col("n") >= least) & (F.length("word") <= LONGEST_WORD)).toArrow()  # at most ``frequent`` short words
-    known = dict(zip(often["word"].to_pylist(), np.log10(often["n"].to_numpy() + 1.0).tolist(), strict=True))
-
-    grams = counted.where("kind = 1").select(F.conv(F.hex("key"), 16, 10).cast("bigint").alias("gram"), "n")
-    levels, floor = [], 1
-    for d in range(depth + 1):
-        keys, counts, floor = _level(grams, d, contexts, floor)
-        levels.append((keys, counts))
-    model = spark.sparkContext.broadcast(Model(levels))
-    del levels
-    scorer = _scorer(model, spark.sparkContext.broadcast(known))
-    seen = documents.select(F.col(id_col).alias("id"), trained.alias("trained"), F.octet_length(bytes_of(F.col(text_col))).alias("n_bytes"), scorer(bytes_of(F.col(text_col))).alias("s"))
-    seen = stored(seen.select(F.monotonically_increasing_id().alias("row"), "id", "trained", "n_bytes", "s.*"), "scores")
+    known = context.broadcast(dict(zip(often["word"].to_pylist(), np.log10(often["n"].to_numpy() + 1.0).tolist(), strict=True)))
 
-    others = stored(words.where((F.col("n") < least) | (F.length("word") > LONGEST_WORD)), "words")
-    rare = seen.where(F.size("rare") > 0).select("row", F.inline("rare")).join(others.withColumnRenamed("n", "c"), "word")
-    sums = stored(rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_base")), "rare")
+    grams = scores_of(counted.where("gram is not null").select("gram", "n"), depth)
+    floor = _threshold(grams.where("n > 0"), common)
+    held = grams.where(F.col("n") >= floor).select("gram", F.col("score").cast("float")).toArrow().sort_by("gram")  # at most ``common`` rows
+    table = context.broadcast((held["gram"].to_numpy(), held["score"].to_numpy()))
+    seen = documents.select(F.col(id_col).alias("id"), trained.alias("trained"), F.octet_length(bytes_of(F.col(text_col))).alias("n_bytes"), _scorer(depth, known, table)(bytes_of(F.col(text_col))).alias("s"))
+    seen = stored(seen.select(F.monotonically_increasing_id().alias("row"), "id", "trained", "n_bytes", "s.*"), "scores")
+    known.destroy()
+    table.destroy()
+
+    others = words.where((F.col("n") < least) | (F.length("word") > LONGEST_WORD)).withColumnRenamed("n", "c")
+    by_word = seen.where(F.size("words") > 0).select("row", F.inline("words")).join(others, "word")
+    by_word = by_word.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_base"))
+    by_gram = seen.where(F.size("grams") > 0).select("row", F.inline("grams")).join(grams.where(F.col("n") < floor).select("gram", F.col("score").alias("each")), "gram")
+    by_gram = by_gram.groupBy("row").agg(F.sum(F.col("n") * F.col("each")).alias("more_score"))
+    sums = stored(by_word.join(by_gram, "row", "full"), "sums")
+    release(counted, grams)
     end = math.log10((ends[0] if ends else 0) + 1)
     each = math.log10(tokens + distinct + 1)
-    joined = seen.join(sums, "row", "left")
+    joined = seen.join(sums, "row", "left").withColumn("total", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return joined.select(
         "id",
         "trained",
@@ -326,6 +426,6 @@ def scored(documents: DataFrame, training: Column, *, id_col: str = "doc_id", te
         (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(1 if ends else 0)).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
-        (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        F.col("total").alias("score"),
+        (-F.col("total") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -297,14 +297,15 @@ def kt_mix(counts, context, prefix, bit, depth, d=0):
     return whole, stop * p + (1 - stop) * below
 
 
-def test_context_tree(spark):
-    depth = 2
-    texts = ["abab ab", "abba", "", "ba ab abc"]
+@pytest.mark.parametrize(("depth", "common"), [(1, 1 << 19), (2, 1 << 19), (3, 4), (5, 0), (5, 16)])
+def test_context_tree(spark, depth, common):
+    texts = ["abab ab", "abba", "", "ba ab abc", "Ab \U0001f600 ab"]
+    learned = 3
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["id"]: r for r in ctw.scored(d, F.col("doc_id") < 3, depth=depth).collect()}
+    got = {r["id"]: r for r in ctw.scored(d, F.col("doc_id") < learned, depth=depth, common=common, frequent=1 if common < 10 else 65536).collect()}
     counts = Counter()
-    padded = lambda t: b"\xff" * depth + t.lower().encode() + b"\xff"
-    for t in texts[:3]:
+    padded = lambda t: b"\xff" * depth + t.encode().lower() + b"\xff"
+    for t in texts[:learned]:
         x = padded(t)
         counts.update((x[i - depth : i], x[i]) for i in range(depth, len(x)))
     for i, t in enumerate(texts):
@@ -313,29 +314,39 @@ def test_context_tree(spark):
             for bit in range(8):
                 p = kt_mix(counts, x[k - depth : k], x[k] >> (8 - bit), bit, depth)[1]
                 total += math.log10(p if x[k] >> (7 - bit) & 1 else 1 - p)
-        assert got[i]["score"] == pytest.approx(total, abs=1e-3)
-    c = Counter(w for t in texts[:3] for w in [*t.split(), "\n"])
+        assert got[i]["score"] == pytest.approx(total, abs=1e-5)
+    c = Counter(w for t in texts[:learned] for w in [*t.split(), "\n"])
     n, v = sum(c.values()), len(c)
     for i, t in enumerate(texts):
-        tokens = [*t.split(), "\n"]
+        tokens = [*t.lower().split(), "\n"]
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(tokens), sum(w in c for w in tokens), n)
 
 
+def test_codes_in_parts():
+    texts = [b"", words(1, 3).encode(), words(2, 500).encode(), b""]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    ((whole, of),) = ctw.codes(data, at, 5)
+    for i, t in enumerate(texts):
+        x = b"\xff" * 5 + t + b"\xff"
+        want = [int.from_bytes(x[k : k + 5][::-1] + x[k + 5 : k + 6], "big") for k in range(len(t) + 1)]
+        parts = np.concatenate([c for c, _ in ctw.codes(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 5, 64)])
+        assert whole[of == i].tolist() == want == parts.tolist()
+
+
 def test_context_tree_is_a_distribution(spark):
+    x = b"\xff" * 5 + words(1, 400).encode() + b"\xff"
+    grams = Counter(int.from_bytes(x[k - 5 : k][::-1] + x[k : k + 1], "big") for k in range(5, len(x)))
+    contexts = [g >> 8 for g in list(grams)[:40]] + [1, (grams.most_common(1)[0][0] >> 16 << 8) | 7]  # two that never occur
+    grams.update({c << 8 | b: 0 for c in contexts for b in range(256)})
+    scores = {r["gram"]: r["score"] for r in ctw.scores_of(spark.createDataFrame(list(grams.items()), "gram bigint, n bigint"), 5).collect()}
+    assert [sum(10 ** scores[c << 8 | b] for b in range(256)) for c in contexts] == pytest.approx([1] * len(contexts), abs=1e-6)
+
+
+def test_rare_words_and_grams_are_joined(spark):
     d = spark.createDataFrame([(i, words(i, 50)) for i in range(20)], "doc_id bigint, text string")
-    levels = []
-    text, places, _ = ctw.padded(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))(words(1, 400).encode()), 3)
-    grams, times = np.unique(ctw.codes(text, places, 3), return_counts=True)
-    for k in range(4):
-        keys, where = np.unique((grams >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1), return_inverse=True)
-        counts = np.zeros((len(keys), 256))
-        np.add.at(counts, (where, (grams & np.uint64(255)).astype(int)), times)
-        few = slice(None, None, 2) if k == 3 else slice(None)  # half of the deepest contexts aren't nodes
-        levels.append((keys[few], counts[few]))
-    assert (10.0 ** ctw.Model(levels).score.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
-    few, many = (ctw.scored(d, F.lit(True), depth=2, contexts=4, frequent=n).orderBy("id").select("base_score", "n_known").collect() for n in (1, 10**6))
-    assert [tuple(r) for r in few] == [pytest.approx(tuple(r)) for r in many]
+    few, many = (ctw.scored(d, F.col("doc_id") < 15, common=n, frequent=n).orderBy("id").select("base_score", "n_known", "score").collect() for n in (1, 10**6))
+    assert [tuple(r) for r in few] == [pytest.approx(tuple(r), rel=1e-6) for r in many]
 
 
 def test_decontamination(spark):
