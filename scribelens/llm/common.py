@@ -17,11 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only where that is unset and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scribelens-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

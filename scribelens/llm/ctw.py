@@ -81,7 +81,7 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _COUNTS = "gram bigint, word binary, n bigint"
 
 
-def _counts(depth: int, most: int = 500_000, most_words: int = 100_000):
+def _counts(depth: int, most: int = 800_000, most_words: int = 100_000):
     """Partial counts of (text, whether it is learned from) rows; n-grams of other texts come with 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def _scorer(depth: int, frequent, common):
             score = np.zeros(len(texts))
             left_of, left = [], []
             for grams, of in codes(data, at, depth):
-                order = np.argsort(grams, kind="stable")
+                order = np.argsort(grams)
                 sorted_ = grams[order]
                 first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
                 each = sorted_[first]

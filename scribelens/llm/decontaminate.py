@@ -63,7 +63,7 @@ def _item_windows(span: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for texts in pieces(batch, 1 << 20):
+            for texts in pieces(batch, 1 << 19):
                 _, _, _, at, hashes = words(*flat(texts))
                 lengths = np.diff(at)
                 found = [(*_windows(hashes, at, span, span), span)]
@@ -85,7 +85,7 @@ def _document_windows(span: int, short: list[int], bits: np.ndarray):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for texts in pieces(batch, 1 << 20):
+            for texts in pieces(batch, 1 << 19):
                 _, _, _, at, hashes = words(*flat(texts))
                 found = []
                 for n in [*short, span]:
@@ -156,12 +156,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     return judged, spans
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, least_item: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, least_item: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``documents`` of whose words no more than ``max_share`` are hit, with all their columns.
 
     Equal texts are judged alike, so texts to drop are told by a 128-bit digest and no copy of
-    the documents is needed. Items of fewer words than ``least_item`` don't count, since they
-    stand in clean texts by chance. ``id_col`` isn't looked at.
+    the documents is needed. Items of fewer words than ``least_item`` don't count; by default
+    all do. ``id_col`` isn't looked at. Null and empty texts stay, repeated rows stay or go
+    together, very long texts are read whole; an empty benchmark drops nothing.
     """
     high, low = temporary(documents, "high", "low")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
