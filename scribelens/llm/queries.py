@@ -28,14 +28,18 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("first").alias("start"), "end", "n_words", "digest", F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
 
 
-def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page's url, judged by the rules, else by its template; a page is labelled by the document whose number ends its path."""
-    pages, labels = _table(spark, folder, "pages"), _table(spark, folder, "labels")
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, good): a page shows the document whose doc_id is the number that ends its path; it is good if that is of quality 1 and not toxic."""
     document = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})[^0-9/]*/?$", 1)
     numbered = pages.select("page_id", F.when(document != "", document.cast("long")).alias("doc_id"))
     good = labels.where("toxic is not null or quality is not null").select("doc_id", ((F.coalesce("toxic", F.lit(0)) == 0) & (F.coalesce("quality", F.lit(1)) == 1)).cast("int").alias("good"))
-    labelled = numbered.join(good, "doc_id").select("page_id", "good")
-    return url_filter.judged(pages, labelled, URL_RULES).withColumnRenamed("id", "page_id")
+    return numbered.join(good, "doc_id").select("page_id", "good")
+
+
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url, judged by the rules, else by its template's labelled pages."""
+    pages = _table(spark, folder, "pages")
+    return url_filter.judged(pages, page_labels(pages, _table(spark, folder, "labels")), URL_RULES).withColumnRenamed("id", "page_id")
 
 
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
