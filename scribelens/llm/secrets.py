@@ -29,46 +29,88 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Limits in bits by character class; a class is the first whose pattern a candidate matches.
-CLASSES = (("hex", "^[0-9a-fA-F-]+$", 2.8), ("lower", "^[a-z_=/-]+$", 9.9), ("letters", "^[A-Za-z_=/-]+$", 3.9), ("mixed", "", 3.6))
-#: Suppressed: no digit and few capitals inside, plain numbers and dates, paths, a run of one character, words that mark samples.
-ALLOWED = (r"^[0-9_/=+-]+$", r"(.)\1{7}", r"(?i)example|sample|dummy|placeholder|changeme|lorem", r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$", r"^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*$", r"^[A-Z]+$")
+CLASSES = (("hex", "^[0-9a-fA-F-]+$", 2.8), ("lower", "^[a-z_=/-]+$", 4.0), ("letters", "^[A-Za-z_=/-]+$", 3.9), ("mixed", "", 3.6))
+#: Suppressed: plain numbers and dates, a run of one character, words that mark samples, words joined by dashes or slashes or by capitals, capitals alone.
+ALLOWED = (r"^[0-9_/=+-]+$", r"(.)\1{7}", r"(?i)example|sample|dummy|placeholder|changeme|lorem", r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$", r"^[A-Z]?[a-z]+(?:[A-Z][a-z]+)+$", r"^[A-Z]+$")
 
 _SPANS = "array<struct<kind:string,start:int,end:int,found:string>>"
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, zero: Column, merge) -> Column:
+    """For each place of an array of integers ``merge`` of all values up to it.
+
+    In blocks of the root of the array's size, so that no array is built up value by value.
+    """
+
+    def upto(x):
+        return F.transform(x["v"], lambda _, i: F.aggregate(F.slice(x["v"], F.floor(i / x["b"]).cast("int") * x["b"] + 1, i % x["b"] + 1), F.get(x["before"], F.floor(i / x["b"]).cast("int")), merge))
+
+    def blocks(x):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x["v"]) - 1, F.lit(0)), x["b"])
+        sums = F.transform(starts, lambda s: F.aggregate(F.slice(x["v"], s + 1, x["b"]), zero, merge))
+        before = lambda y: F.transform(y, lambda _, i: F.aggregate(F.slice(y, 1, i), zero, merge))
+        return _let(F.struct(x["v"].alias("v"), x["b"].alias("b"), _let(sums, before).alias("before")), upto)
+
+    return _let(values, lambda v: _let(F.struct(v.alias("v"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")).alias("b")), blocks))
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Spans of all matches from the left, in code points. Looking is done once; pieces are cut only where something was found."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # each match with the piece of text before it
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, p: F.struct(m.alias("found"), p.alias("piece")))
+    none = F.array().cast(_SPANS)
 
-    def add(spans, x):
-        start = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)) + F.length(x["piece"])
-        return F.concat(spans, F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["found"])).alias("end"), x["found"].alias("found"))))
+    def placed(found):
+        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))  # the text before each match
+        ends = running(F.zip_with(found, pieces, lambda m, p: F.length(m) + F.length(p)), F.lit(0), lambda a, x: a + x)
+        return F.zip_with(found, ends, lambda m, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("found"))).cast(_SPANS)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
-    none = F.array().cast(_SPANS)
-    return F.when(F.size(found) > 0, F.aggregate(pairs, none, add)).otherwise(none)
+
+#: Counts of a window are digits of six bits, ten to a number.
+_DIGITS = 10
+_NUMBERS = -(-(len(ALPHABET) + 1) // _DIGITS)
 
 
 def window_entropy(candidate: Column, window: int = 20) -> Column:
-    """The largest Shannon entropy, in bits, of any ``window`` characters in a row (of the whole, if shorter)."""
+    """The largest Shannon entropy, in bits, of any ``window`` characters in a row (of the whole, if shorter); at most 60.
+
+    Each step adds one to the count of the character that enters and takes one from that of
+    the character that leaves; the counts are digits of a few numbers.
+    """
+    if not 1 <= window <= 60:
+        raise ValueError("a window has 1 to 60 characters")
     places = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     left = F.slice(F.concat(F.array_repeat(F.lit(-1), window), places), 1, F.size(places))
     moves = F.zip_with(places, left, lambda new, old: F.struct(new.alias("new"), old.alias("old")))
-    logs = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 1)))
+    logs = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)))
+    ones = F.array(*(F.lit(1 << 6 * i).cast("long") for i in range(_DIGITS)))
 
     def step(state, move):
-        new, old, counts = move["new"], move["old"], state["counts"]
-        n_new, n_old = F.get(counts, new), F.get(counts, old)
+        new, old = move["new"], move["old"]
+        counts = [state[f"c{i}"] for i in range(_NUMBERS)]
+
+        def count(place):
+            number = counts[-1]
+            for i in reversed(range(_NUMBERS - 1)):
+                number = F.when(place < _DIGITS * (i + 1), counts[i]).otherwise(number)
+            return F.call_function("shiftright", number, place % _DIGITS * 6).bitwiseAND(F.lit(63)).cast("int")
+
+        n_new, n_old = count(new), count(old)
         entered = state["total"] - F.get(logs, n_new) + F.get(logs, n_new + 1)
         total = F.when(old == new, state["total"]).when(old < 0, entered).otherwise(entered - F.get(logs, n_old) + F.get(logs, n_old - 1))
-        moved = F.when(old == new, counts).otherwise(F.transform(counts, lambda c, p: c + (p == new).cast("int") - (p == old).cast("int")))
+        change = lambda place, i: F.when((place >= _DIGITS * i) & (place < _DIGITS * (i + 1)), F.get(ones, place % _DIGITS)).otherwise(F.lit(0).cast("long"))
+        moved = [(c + change(new, i) - change(old, i)).alias(f"c{i}") for i, c in enumerate(counts)]
         size = F.least(state["size"] + 1, F.lit(window))
         bits = F.log2(size.cast("double")) - total / size
         best = F.when(size == window, F.greatest(state["best"], bits)).otherwise(state["best"])
-        return F.struct(moved.alias("counts"), total.alias("total"), size.alias("size"), bits.alias("bits"), best.alias("best"))
+        return F.struct(*moved, total.alias("total"), size.alias("size"), bits.alias("bits"), best.alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("size"), F.lit(0.0).alias("bits"), F.lit(0.0).alias("best"))
+    start = F.struct(*(F.lit(0).cast("long").alias(f"c{i}") for i in range(_NUMBERS)), F.lit(0.0).alias("total"), F.lit(0).alias("size"), F.lit(0.0).alias("bits"), F.lit(0.0).alias("best"))
     return F.aggregate(moves, start, step, lambda s: F.greatest(s["best"], F.when(s["size"] < window, s["bits"]).otherwise(0.0)))
 
 
@@ -105,25 +147,44 @@ def scanned(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, assign, access, hex, entropy, base, all) of every row: spans by kind, and their listings as text.
 
     Null and empty texts have no spans. Matches of one kind don't overlap, those of different
-    kinds may. Rows are judged one by one, repeated ones alike; other columns are ignored.
+    kinds may; spans with one start are listed in the order of their kinds. Very long texts
+    are read whole. Rows are judged one by one, repeated ones alike; other columns are
+    ignored; no rows give no rows.
     """
     found = documents.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in spans(F.col(text_col), **options).items()))
     base = F.concat("assign", "access", "hex")
     return found.select("id", *KINDS, _listed(base).alias("base"), _listed(F.concat(base, "entropy")).alias("all"))
 
 
+def _cut(text: Column, pieces: Column, block: int = 4096) -> Column:
+    """The pieces (array of struct(a, b)) of a text, by blocks of it, so that none is looked for from the text's start."""
+    blocks = F.transform(F.sequence(F.lit(0), F.length(text), F.lit(block)), lambda s: F.substring(text, s + 1, F.lit(block)))
+
+    def piece(bs, p):
+        first = F.floor(p["a"] / block).cast("int")
+        held = F.array_join(F.slice(bs, first + 1, F.floor(p["b"] / block).cast("int") - first + 1), "")
+        return F.substring(held, p["a"] - first * block + 1, p["b"] - p["a"])
+
+    return _let(blocks, lambda bs: F.transform(pieces, lambda p: piece(bs, p)))
+
+
 def redacted(documents: DataFrame, *, text_col: str = "text", mark: str = "[secret]", **options) -> DataFrame:
-    """``documents`` with each span of its texts (overlapping ones together) replaced by ``mark``; texts without one stay."""
+    """``documents`` with each span of its texts (overlapping ones together) replaced by ``mark``; texts without one stay.
+
+    Null texts stay null, repeated rows are treated alike, all rows and other columns stay.
+    The work on a text grows little faster than its length and the number of its spans.
+    """
     text = F.col(text_col).cast("string")
     found = F.concat(*(F.transform(c, lambda s: F.struct(s["start"], s["end"])) for c in spans(F.col(text_col), **options).values()))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def cut(state, s):
-        fresh = s["start"] >= state["at"]
-        piece = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), piece.alias("out"))
+    def whole(sorted_):
+        # where a span begins beyond all ends before it, the text since them is kept
+        ends = running(F.transform(sorted_, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        gaps = _let(ends, lambda e: F.transform(sorted_, lambda s, i: F.struct(F.coalesce(F.get(e, i - 1), F.lit(0)).alias("a"), s["start"].alias("b"))))
+        last = F.struct(F.array_max(F.transform(sorted_, lambda s: s["end"])).alias("a"), F.length(text).alias("b"))
+        fresh = F.filter(gaps, lambda g: g["b"] >= g["a"])
+        return F.array_join(_cut(text, F.concat(fresh, F.array(last))), mark)
 
     (name,) = temporary(documents, "found")
     marked = documents.withColumn(name, found)
-    whole = F.aggregate(F.sort_array(F.col(name)), state, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
-    return marked.withColumn(text_col, F.when(F.size(name) > 0, whole).otherwise(text)).drop(name)
+    return marked.withColumn(text_col, F.when(F.size(name) > 0, _let(F.sort_array(F.col(name)), whole)).otherwise(text)).drop(name)
