@@ -5,9 +5,10 @@ learned filters slide over each chunk, and each filter's largest response in the
 kept (max pooling). A linear layer makes one logit per chunk; the mean, largest and smallest
 logit over all chunks are combined into the document's probability.
 
-The network is fitted on the driver on a bounded sample of labelled rows: ``sample`` rows at
-most, drawn by a seeded hash of the id, of texts up to ``longest`` bytes, and ``chunks``
-chunks of them for the filters. Scoring covers every byte of every document.
+The network is fitted on the driver on a bounded sample of labelled rows, drawn by a seeded
+hash: ``sample`` rows at most, and no more than fill ``budget`` bytes. All chunks of the
+sampled rows take part, whatever their texts' length. Scoring covers every byte of every
+document.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.features(data, at) @ self.document, -30, 30)))
 
 
-def fitted(texts: list[bytes], labels: np.ndarray, *, chunks: int = 16000, seed: int = 7) -> Network:
+def fitted(texts: list[bytes], labels: np.ndarray, *, seed: int = 7) -> Network:
     """A network fitted to texts and their labels (1 or 0). Both classes weigh the same; with one class or none, its share is all there is."""
     net = Network(seed)
     y = np.asarray(labels, float)
@@ -138,29 +139,32 @@ def fitted(texts: list[bytes], labels: np.ndarray, *, chunks: int = 16000, seed:
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     begin, end, first = chunks_of(data, at)
     text = np.repeat(np.arange(len(y)), np.diff(first))
-    r = np.random.default_rng(seed)
-    chosen = np.sort(r.permutation(len(text))[:chunks])
-    own = y[text[chosen]]
-    weight = np.where(own == 1, 0.5 / max(own.mean(), 1e-6), 0.5 / max(1 - own.mean(), 1e-6))
-    net.fit_filters(gathered(data, begin[chosen], end[chosen]), own.astype(np.float32), weight.astype(np.float32))
+    own = y[text]
+    weight = np.where(own == 1, 0.5 / own.mean(), 0.5 / (1 - own.mean()))
+    net.fit_filters(gathered(data, begin, end), own.astype(np.float32), weight.astype(np.float32))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     net.fit_document(net.features(data, at), y, weight)
     return net
 
 
-def trained(documents: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = 1500, longest: int = 1 << 16, seed: int = 7) -> Network:
+def trained(documents: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = 1500, budget: int = 1 << 25, seed: int = 7) -> Network:
     """A network fitted on at most ``sample`` labelled rows for whose id (column id) ``allowed`` holds.
 
-    Rows without an id, label or text are left out; an id labelled more than once counts as
-    good if all its labels are.
+    Rows are taken in the order of a hash of id and text until one would exceed ``budget``
+    bytes of text; the first is taken whatever its length. Rows without an id, label or text
+    are left out; an id labelled more than once counts as good if all its labels are.
     """
     named = labels.where(F.col(label_id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where(allowed).groupBy("id").agg(F.min("label").alias("label"))
     n = named.count()
     chosen = named.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 0.9 * sample / max(n, 1)))))
     wanted = F.broadcast(chosen.limit(sample))  # at most ``sample`` ids
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= longest)
-    found = rows.join(wanted, "id").limit(2 * sample).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
+    order = F.xxhash64(F.lit(seed), "id", "text")
+    drawn = rows.join(wanted, "id").select(order.alias("h"), "label", F.octet_length("text").alias("size"), "text")
+    sizes = [r["size"] for r in drawn.select("h", "size").orderBy("h", "size").limit(sample).collect()]
+    fits = max(1, int(np.searchsorted(np.cumsum(sizes), budget, "right")))
+    found = drawn.orderBy("h", "size").limit(fits).toArrow()  # at most ``sample`` rows of ``budget`` bytes together
     return fitted(found["text"].to_pylist(), found["label"].to_numpy(), seed=seed)
 
 
@@ -181,8 +185,9 @@ def scorer(documents: DataFrame, network: Network):
 def scored(documents: DataFrame, network: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: the probability of label 1, from the text alone.
 
-    Null and empty texts are one chunk of nothing and get the score of that. Repeated rows
-    are scored alike, no rows give no rows, other columns are ignored.
+    Null and empty texts are one chunk of nothing and get the score of that; very long ones
+    are scored chunk by chunk. Repeated rows and ties are scored alike, no rows give no rows,
+    other columns are ignored.
     """
     return documents.select(F.col(id_col).alias("id"), scorer(documents, network)(bytes_of(F.col(text_col))).alias("score"))
 
