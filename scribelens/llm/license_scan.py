@@ -3,8 +3,10 @@
 A template is a license's wording with markup: ``{...}`` around words that may be missing,
 ``[name]`` for a replaceable region of up to 12 words (``[name:n]``: up to n). It is compiled
 into an automaton over tokens: each mandatory word must stand exactly as written, an optional
-region may be skipped, a replaceable one takes any words. A text is accepted from a place if
-some path through the automaton ends there; the longest is reported.
+region may be skipped, a replaceable one takes any words up to the mandatory one that follows
+it. A text is accepted from a place if some path through the automaton ends there; the
+longest is reported. A template neither begins nor ends with a replaceable region, so what is
+reported is wording of the license from its first word to its last.
 
 Automata are started only where the template's first mandatory words stand, which is found
 for all texts of a batch at once by word hashes and then compared as words.
@@ -27,17 +29,55 @@ from .words import grams, words
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Wording of common license notices, in our markup.
+_AS_IS = "without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."
+
+#: Wording of common licenses and of the notices that apply them, in our markup.
 TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license {version 2 0} {the license {you may not use this file except in compliance with the license {you may obtain a copy of the license at [url:8]}}}",
-    "mit-notice": "{released} {licensed} under the {terms of the} mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-notice": "{this program is} free software you can redistribute it and or modify it under the terms of the gnu {lesser} {library} {affero} general public license as published by the free software foundation {either version [version:3] of the license or at your option any later version}",
-    "gpl-reference": "{licensed} under the {terms of the} gnu {lesser} {affero} general public license {version [version:2]}",
-    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-notice": "licensed under {a} {the} {creative commons} cc by {nc} {sa} {nd} {[version:2]}",
-    "copyright": "copyright {c} [holder:8] all rights reserved",
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights "
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice {(including the next paragraph)} shall be included in all copies or substantial portions of the Software. "
+        f"The software is provided as is, {_AS_IS} In no event shall [holders] be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, "
+        "arising from, out of or in connection with the software or the use or other dealings in the software."
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and{/or} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "The software is provided as is and [author] disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. "
+        "In no event shall [author] be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, "
+        "arising out of or in connection with the use or performance of this software."
+    ),
+    "bsd-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "{1.} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "{2.} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "{{3.} Neither the name of [holder] nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.} "
+        "This software is provided by [holder] as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. "
+        "In no event shall [holder] be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) "
+        "however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+    ),
+    "zlib-text": (
+        "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "{1.} The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "{2.} Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. {3.} This notice may not be removed or altered from any source distribution."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at [url] "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "apache-2.0-notice": "licensed under the apache license {version} 2 0",
+    "gpl-header": (
+        "free software; you can redistribute it and/or modify it under the terms of the GNU {Lesser} {Library} {Affero} General Public License as published by the Free Software Foundation; "
+        "{either} version [version:2] of the License{, or (at your option) any later version}"
+    ),
+    "gpl-notice": "licensed under the {terms of the} gnu {lesser} {library} {affero} general public license {version {1} {2} {3} {0}} {or later}",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at [url:4] mozilla.org {MPL/2.0}",
+    "cc-notice": "licensed under {a} {the} {creative commons} {attribution} cc by {nc} {sa} {nd} {1 0} {2 0} {2 5} {3 0} {4 0} {international}",
 }
 
 _RESULT = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base:array<string>,labels:array<string>,spans:array<struct<label:string,first:int,end:int>>,score:double>"
@@ -52,7 +92,7 @@ class Automaton:
         self.any: list[tuple[int, int]] = []
         self.free: list[tuple[int, int]] = []
         self.states = 1
-        parts = re.findall(r"\{|\}|\[[^\]]*\]|[^\s{}\[\]]+", markup.lower())
+        parts = re.findall(r"[{}]|\[[^\]]*\]|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", markup.lower())
         self.mandatory = 0
         end, rest = self._row(parts, 0, 0)
         if rest != len(parts):
@@ -74,6 +114,8 @@ class Automaton:
                         todo.append(b)
             reach[s] = seen
         self.closure = reach
+        if any(end in reach[b] for _, b in self.any):
+            raise ValueError("a template must not end with a replaceable region")
 
     def _new(self) -> int:
         self.states += 1
@@ -226,8 +268,9 @@ def scanned(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     what templates accepted (label, first word, end word). ``score`` is 0 without any, else a
     half and half the share of words covered.
 
-    Null and empty texts have no words. Of equally placed templates all are reported;
-    repeated rows are judged alike; other columns are ignored; no rows give no rows.
+    Null and empty texts have no words; very long ones are read whole. Of equally placed
+    templates all are reported; repeated rows are judged alike; other columns are ignored; no
+    rows give no rows.
     """
     found = documents.select(F.col(id_col).alias("id"), _scanner(phrases, templates)(bytes_of(F.col(text_col))).alias("r"))
     return found.select("id", "r.*")
