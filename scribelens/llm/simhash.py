@@ -215,11 +215,12 @@ def _shingler(words: int):
     return run
 
 
-def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, j): the Jaccard similarity of each pair (a, b) by the shingles of ``sets``."""
+def _similarities(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """(a, b, j): the Jaccard similarity of each pair (a, b) by the shingles of ``sets``; with ``differences`` also the sets' sizes and what b has beyond a, then what it lacks of a, each in order."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"))
+    more = [F.size("x").alias("na"), F.size("y").alias("nb"), F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y"))).alias("change")] if differences else []
+    return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"), *more)
 
 
 def _within(groups: DataFrame, bucket: int) -> DataFrame:
@@ -230,43 +231,66 @@ def _within(groups: DataFrame, bucket: int) -> DataFrame:
 
 
 def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b), a < b, that can reach ``similarity``: two such sets share one of the rarest shingles of each, of which the rest is too few."""
+    """All pairs (a, b), a < b, that can reach ``similarity``: two such sets share one of the rarest shingles of each, after which enough are left in both."""
     each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = each.join(often, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
     most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
-    prefix = stored(ranked.select("id", "n", F.inline(F.slice("ranked", 1, most))).where("often > 1").select("id", "n", "shingle"), "prefix")
+    prefix = stored(ranked.select("id", "n", F.posexplode(F.slice("ranked", 1, most)).alias("p", "s")).where("s.often > 1").select("id", "n", "p", "s.shingle"), "prefix")
     fits = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity - 1e-6
-    pairs = prefix.alias("l").join(prefix.alias("r"), "shingle").where((F.col("l.id") < F.col("r.id")) & fits)
+    left = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) >= (F.col("l.n") + F.col("r.n")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = prefix.alias("l").join(prefix.alias("r"), "shingle").where((F.col("l.id") < F.col("r.id")) & fits & left)
     out = stored(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "pairs")
     release(prefix)
     return out
 
 
+def _difference_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, that can reach ``similarity``, of texts compared with one owner (a, b: the text, na, nb, change, fringe), one of them on the fringe, that is below it.
+
+    Two texts x and y differ where exactly one of their changes against the owner o does, so
+    at similarity t their changes share (|dx| + |dy| - (|x| + |y|)(1 - t)/(1 + t)) / 2 or
+    more. For a text on the fringe |dx| > (|x| + |o|)(1 - t)/(1 + t), so of y's changes more
+    than half must be shared and one of their first half or so, which are new shingles of y
+    itself, stands among x's. Texts that merely lack the same shingles of the owner don't meet.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    d = F.size("change")
+    least_y = F.floor((d + (F.col("na") - F.col("nb")) * slack) / 2 + 1e-6).cast("int")  # this many and one more
+    least_x = F.ceil(d - F.col("nb") * ((1 - similarity) / similarity) - 1e-6).cast("int")
+    first = lambda rows, need: rows.select(F.col("a").alias("owner"), "b", "nb", d.alias("d"), F.posexplode(F.slice("change", 1, F.greatest(d - F.greatest(need, F.lit(1)) + 1, F.lit(0)))).alias("p", "e"))
+    x, y = first(members.where("fringe"), least_x).alias("x"), first(members, least_y + 1).alias("y")
+    left = F.least(F.col("x.d") - F.col("x.p"), F.col("y.d") - F.col("y.p")) >= (F.col("x.d") + F.col("y.d") - (F.col("x.nb") + F.col("y.nb")) * slack) / 2 - 1e-6
+    met = x.join(y, (F.col("x.owner") == F.col("y.owner")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.b") != F.col("y.b")) & left)
+    return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+
 def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, rounds: int = 3) -> DataFrame:
     """Edges (a, b), each alike, that connect all pairs within a group (band, key, node, n: its size) that are alike; takes ``groups`` over.
 
     Groups of at most ``bucket`` texts are compared pair by pair. In a larger one all are
-    compared with an owner: those like it leave the group, being linked, and the rest is a
-    group of its own. As 1 - J is a metric, a text that stays and is alike to one that left
-    has at least 2 * similarity - 1 in common with the owner; such texts, where nothing else
-    has linked them to the owner, are compared with all that left. What is still large after
-    some rounds is many texts unlike each other: they are paired by their rarest shingles.
+    compared with an owner, the text with the largest groups, which is the one that most
+    others are copies of. Those like it are linked. As 1 - J is a metric, a text at
+    2 * similarity - 1 or more with the owner can only be alike to others at
+    3 * similarity - 2 or more with it, so it leaves the group, and what it has in common with
+    those others is looked for among their changes against the owner, see
+    :func:`_difference_pairs`. The rest is a group of its own. What is still large after some
+    rounds is many texts unlike each other: they are paired by their rarest shingles.
     """
-    floor = 2 * similarity - 1 - 1e-9
     pairs, near = [], []
-    for i in range(rounds):
+    for _ in range(rounds):
         pairs.append(stored(_within(groups, bucket), "pairs"))
-        large = groups.where(F.col("n") > bucket).select("band", "key", "node")
+        large = groups.where(F.col("n") > bucket).select("band", "key", "node", "n")
         if large.isEmpty():
             break
-        # a few different owners, so that a family is linked by more than one star
-        first = F.min(F.struct(F.xxhash64("node", F.col("band") % 4, F.lit(i)).alias("h"), "node"))
-        owners = stored(large.groupBy("band", "key").agg(first.alias("o")).select("band", "key", F.col("o.node").alias("owner")), "owners")
-        star = stored(large.join(owners, ["band", "key"]).where("node <> owner"), "star")
-        seen = stored(_similarities(star.select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct(), sets).where(F.col("j") >= floor), "near")
+        central = large.groupBy("node").agg(F.sum("n").alias("score"))
+        owners = stored(large.join(central, "node").groupBy("band", "key").agg(F.max(F.struct("score", "node")).alias("o")).select("band", "key", F.col("o.node").alias("owner")), "owners")
+        star = stored(large.join(owners, ["band", "key"]).where("node <> owner").select("band", "key", "node", "owner"), "star")
+        compared = _similarities(star.select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct(), sets, True)
+        seen = stored(compared.where(F.col("j") >= 3 * similarity - 2 - 1e-9), "near")
         near.append(seen)
-        left = stored(star.join(seen.where(F.col("j") >= similarity).select(F.col("a").alias("owner"), F.col("b").alias("node")), ["owner", "node"], "left_anti").select("band", "key", "node"), "left")
+        gone = seen.where(F.col("j") >= 2 * similarity - 1 - 1e-9).select(F.col("a").alias("owner"), F.col("b").alias("node"))
+        left = stored(star.join(gone, ["owner", "node"], "left_anti").select("band", "key", "node"), "left")
         counts = stored(left.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
         rest = stored(left.join(counts, ["band", "key"]), "groups")
         release(owners, star, left, counts, groups)
@@ -282,20 +306,18 @@ def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, r
     alike = _similarities(union(pairs).distinct(), sets).where(F.col("j") >= similarity).select("a", "b")
     if near:
         seen = union(near)
-        linked = seen.where(F.col("j") >= similarity)
-        alike = stored(alike.unionByName(linked.select("a", "b")), "alike")
+        alike = stored(alike.unionByName(seen.where(F.col("j") >= similarity).select("a", "b")), "alike")
         roots = stored(components(alike), "roots")
-        # a text of no edge is its own root
-        fringe = seen.where(F.col("j") < similarity).join(roots.toDF("a", "root"), "a", "left").join(roots.toDF("b", "other"), "b", "left")
-        fringe = stored(fringe.where(F.coalesce("root", "a") != F.coalesce("other", "b")).select("a", "b", "j"), "fringe")
+        # a text of no edge is its own root; one that is linked to its owner by others needs no more links
+        apart = F.coalesce("root", "a") != F.coalesce("other", "b")
+        marked = seen.join(roots.toDF("a", "root"), "a", "left").join(roots.toDF("b", "other"), "b", "left").withColumn("fringe", (F.col("j") < similarity) & apart)
+        marked = stored(marked.select(*seen.columns, "fringe"), "marked")
         release(roots)
-        if not fringe.isEmpty():
-            inner = linked.select("a", F.col("b").alias("c"), F.col("j").alias("k")).distinct()
-            cross = fringe.join(inner, "a").where(F.col("k") <= F.col("j") + (1 - similarity) + 1e-9).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-            both = stored(alike.unionByName(_similarities(cross, sets).where(F.col("j") >= similarity).select("a", "b")), "alike")
-            release(alike)
-            alike = both
-        release(fringe, *near)
+        owners = marked.where("fringe").select("a").distinct()
+        found = stored(_difference_pairs(marked.join(owners, "a", "left_semi"), similarity), "fringe")
+        both = stored(alike.unionByName(_similarities(found, sets).where(F.col("j") >= similarity).select("a", "b")), "alike")
+        release(alike, marked, found, *near)
+        alike = both
     else:
         alike = stored(alike, "alike")
     release(*pairs)

@@ -396,6 +396,28 @@ def test_similar_groups_lose_no_link(spark, bucket):
     assert edges <= alike and unions(edges, sets) == unions(alike, sets) and len(set(unions(alike, sets).values())) > 10
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_a_large_family_loses_no_link(spark, sign):
+    # copies of one text, and copies of copies, at similarities around the limit, all under the same keys
+    r = np.random.default_rng(12)
+    sets = {0: set(range(150))}
+    for i in range(1, 260):
+        parent = sets[0] if i % 3 else sets[int(r.integers(0, i))]
+        s = set(parent)
+        for k in range(int(r.integers(1, 5))):
+            at = int(r.integers(0, 146))
+            s -= set(range(at, at + 5))
+            s |= {1000 * i + 10 * k + j for j in range(5)}
+        sets[i] = s
+    sets = {sign * i: s for i, s in sets.items()}  # the owner, here the largest, is a copy or the text that all are copies of
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id bigint, shingles array<bigint>")
+    groups = spark.createDataFrame([(band, 0, i, len(sets)) for band in range(2) for i in sets], "band int, key bigint, node bigint, n bigint")
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    edges = {(min(r), max(r)) for r in simhash._links(stored(groups, "groups"), table, 0.8, 16).select("a", "b").collect()}
+    assert edges <= alike and unions(edges, sets) == unions(alike, sets)
+    assert len(set(unions(alike, sets).values())) > 5 and (sign > 0 or len(edges) < 0.7 * len(alike))
+
+
 def test_cut_and_appended_copies(spark):
     # copies that lose their tail or get one, at a similarity of 0.81 to 0.95
     texts = []
