@@ -251,10 +251,16 @@ def _difference_pairs(members: DataFrame, similarity: float) -> DataFrame:
     Two texts x and y differ where exactly one of their changes against the owner o does, so
     at similarity t their changes share (|dx| + |dy| - (|x| + |y|)(1 - t)/(1 + t)) / 2 or
     more. For a text on the fringe |dx| > (|x| + |o|)(1 - t)/(1 + t), so of y's changes more
-    than half must be shared and one of their first half or so, which are new shingles of y
-    itself, stands among x's. Texts that merely lack the same shingles of the owner don't meet.
+    than half must be shared and one of their first half or so stands among x's. Changes that
+    many texts of the owner have in common come last, so these are new shingles of y itself.
     """
     slack = (1 - similarity) / (1 + similarity)
+    # more than a sixteenth of an owner's texts have them: at most sixteen times a text's changes
+    texts = members.groupBy("a").agg(F.count("*").alias("texts"))
+    common = members.select("a", F.explode("change").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n")).where("n >= 8")
+    common = common.join(texts, "a").where("n * 16 > texts").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("common"))
+    ordered = F.when(F.col("common").isNull(), F.col("change")).otherwise(F.concat(F.array_except("change", "common"), F.array_intersect("common", "change")))
+    members = stored(members.join(common, "a", "left").withColumn("change", ordered).drop("common"), "changes")
     d = F.size("change")
     least_y = F.floor((d + (F.col("na") - F.col("nb")) * slack) / 2 + 1e-6).cast("int")  # this many and one more
     least_x = F.ceil(d - F.col("nb") * ((1 - similarity) / similarity) - 1e-6).cast("int")
