@@ -49,20 +49,11 @@ def char_cer(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 
 @arrow_udf(T.DoubleType())
-def median_cer(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """How unlike the reference's positions first..end-1 are to what models wrote there instead: the upper median of :func:`char_cer`.
-
-    Takes reference tokens, first, end and an array of (missed, replaced, hyp); models that
-    missed no position don't count, without any it is 1.
-    """
-    for columns in batches:
-        out = []
-        for ref, first, end, models in zip(*(c.to_pylist() for c in columns), strict=True):
-            chunk = " ".join(ref[first:end])
-            written = (" ".join(" ".join(m["hyp"][o["j1"] : o["j2"]]) for o in m["replaced"] if o["i1"] < end and o["i2"] > first) for m in models if any(m["missed"][first:end]))
-            each = sorted(_coverage(chunk, w) for w in written)
-            out.append(each[len(each) // 2] if each else 1.0)
-        yield pa.array(out, pa.float64())
+def median_cer(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """How unlike a stretch of reference is to what models wrote there instead (a text, and an array of texts): the upper median of :func:`char_cer`, 1 without any."""
+    for chunks, written in batches:
+        each = (sorted(_coverage(text or "", w) for w in ws or ()) for text, ws in zip(chunks.to_pylist(), written.to_pylist(), strict=True))
+        yield pa.array([x[len(x) // 2] if x else 1.0 for x in each], pa.float64())
 
 
 def missed_flags(ops: Column) -> Column:

@@ -73,6 +73,9 @@ def _verdicts(votes: Column, declined) -> Column:
     return F.transform(tested, lambda v: F.struct(v["model"].alias("model"), F.when(~v["able"], F.lit(None).cast("string")).when(declined(v), "consensus").otherwise("ref").alias("verdict")))
 
 
+_EDIT = "struct<kind:string,position:string,tokens:array<string>,first:int,indices:array<int>,n_panel_agree:int,written:array<string>,verdicts:array<struct<model:string,verdict:string>>>"
+
+
 def find_ref_edits(clips: DataFrame, panel: Sequence[str], models: Sequence[str] | None = None, settings: Settings | None = None) -> DataFrame:
     """One row for each reference error of (clip_key, model, ref_tokens, hyp_tokens) rows.
 
@@ -80,45 +83,42 @@ def find_ref_edits(clips: DataFrame, panel: Sequence[str], models: Sequence[str]
     n_panel, consensus_cer (null for inserts) and verdicts (array of model and verdict).
     ``panel`` may overlap ``models`` (all, if None). Clips without a reference token, or with
     fewer able panel models than ``min_panel``, have none.
+
+    A clip's edits of both kinds are one array in its row, so rows are scanned, aligned and
+    shuffled once.
     """
     s = settings or Settings()
     by = _clips(aligned(clips), panel, models, s)
     zeros = F.array_repeat(F.lit(0), F.col("n_ref"))
-    counts = F.aggregate("panel", zeros, lambda a, v: F.zip_with(a, v["missed"], lambda x, y: x + y))
-    by = by.withColumn("counts", counts)
+    by = by.withColumn("counts", F.aggregate("panel", zeros, lambda a, v: F.zip_with(a, v["missed"], lambda x, y: x + y)))
+    edit = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, ("kind", "position", "tokens", "first", "indices", "n_panel_agree", "written", "verdicts"), strict=True))).cast(_EDIT)
 
-    # deletions
+    # deletions: runs of positions that enough of the panel missed, unless most of it wrote something much alike
     runs = F.filter(_runs(F.col("counts"), F.col("threshold")), lambda r: (r["end"] - r["first"] >= s.min_run_len) & (F.lit(s.include_middle) | (r["first"] == 0) | (r["end"] == F.col("n_ref"))))
-    gone = by.withColumn("run", F.explode(runs)).withColumns({"first": F.col("run.first"), "end": F.col("run.end")})
-    length = F.col("end") - F.col("first")
-    over = lambda v: F.array_contains(F.slice(v["missed"], F.col("first") + 1, length), 1)
-    chunk = F.slice("ref_tokens", F.col("first") + 1, length)
-    gone = gone.withColumn("cer", align.median_cer("ref_tokens", "first", "end", "panel")).where(F.col("cer") >= s.min_consensus_cer)
-    deletions = gone.select(
-        "clip_key",
-        F.lit("delete").alias("kind"),
-        F.when(F.col("first") == 0, "start").when(F.col("end") == F.col("n_ref"), "end").otherwise("middle").alias("position"),
-        chunk.alias("tokens"),
-        "first",
-        F.sequence(F.col("first"), F.col("end") - 1).alias("indices"),
-        F.get("counts", F.col("first")).alias("n_panel_agree"),
-        "n_panel",
-        F.col("cer").alias("consensus_cer"),
-        _verdicts(F.col("votes"), over).alias("verdicts"),
-    )
+    over = lambda v, r: F.array_contains(F.slice(v["missed"], r["first"] + 1, r["end"] - r["first"]), 1)
+    by = by.withColumn("runs", runs)
+    chunk = lambda r: F.slice("ref_tokens", r["first"] + 1, r["end"] - r["first"])
+    written = lambda r: F.transform(F.filter("panel", lambda v: over(v, r)), lambda v: align.substitution_at(v["replaced"], v["hyp"], r["first"], r["end"]))
+    place = lambda r: F.when(r["first"] == 0, "start").when(r["end"] == F.col("n_ref"), "end").otherwise("middle")
+    deleted = F.transform("runs", lambda r: edit(F.lit("delete"), place(r), chunk(r), r["first"], F.sequence(r["first"], r["end"] - 1), F.get("counts", r["first"]), written(r), _verdicts(F.col("votes"), lambda v: over(v, r))))
 
     # insertions, at the start (lists reversed) and at the end alike
-    def inserted(name: str, position: str, at: Column) -> DataFrame:
-        lists = F.transform("panel", lambda v: v[name])
-        with_chunk = by.withColumn("chunk", align.consensus_prefix(lists, F.col("threshold"))).where(F.size("chunk") >= max(1, s.min_run_len))
-        agree = F.size(F.filter("panel", lambda v: align.emitted(v[name], F.col("chunk"))))
-        tokens = F.reverse("chunk") if name == "before" else F.col("chunk")
-        return with_chunk.withColumn("agree", agree).where("agree >= threshold").select(
-            "clip_key", F.lit("insert").alias("kind"), F.lit(position).alias("position"), tokens.alias("tokens"), at.alias("first"), F.array(at).alias("indices"),
-            F.col("agree").alias("n_panel_agree"), "n_panel", F.lit(None).cast("double").alias("consensus_cer"), _verdicts(F.col("votes"), lambda v: align.emitted(v[name], F.col("chunk"))).alias("verdicts"),
-        )
-
-    return deletions.unionByName(inserted("before", "start", F.lit(0))).unionByName(inserted("after", "end", F.col("n_ref")))
+    def inserted(name: str, position: str, at: Column) -> Column:
+        common, agree = F.col(f"heard_{name}"), F.col(f"agree_{name}")
+        tokens = F.reverse(common) if name == "before" else common
+        one = edit(F.lit("insert"), F.lit(position), tokens, at, F.array(at), agree, F.lit(None), _verdicts(F.col("votes"), lambda v: align.emitted(v[name], common)))
+        return F.when((F.size(common) >= max(1, s.min_run_len)) & (agree >= F.col("threshold")), F.array(one)).otherwise(F.array().cast(f"array<{_EDIT}>"))
+
+    def heard(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.withColumn(f"heard_{name}", align.consensus_prefix(F.transform("panel", lambda v: v[name]), F.col("threshold")))
+        return rows.withColumn(f"agree_{name}", F.size(F.filter("panel", lambda v: align.emitted(v[name], F.col(f"heard_{name}")))))
+
+    by = heard(heard(by, "before"), "after")
+    edits = F.concat(deleted, inserted("before", "start", F.lit(0)), inserted("after", "end", F.col("n_ref")))
+    found = by.withColumn("edits", edits).select("clip_key", "n_panel", F.inline_outer("edits")).where("kind is not null")
+    found = found.withColumn("consensus_cer", F.when(F.col("kind") == "delete", align.median_cer(F.array_join("tokens", " "), "written")))
+    kept = found.where((F.col("kind") == "insert") | (F.col("consensus_cer") >= s.min_consensus_cer))
+    return kept.select("clip_key", "kind", "position", "tokens", "first", "indices", "n_panel_agree", "n_panel", "consensus_cer", "verdicts")
 
 
 def verdicts(edits: DataFrame) -> DataFrame:
