@@ -1,9 +1,13 @@
 """The engine's queries over a folder of tables, each with the SQL that DuckDB must agree with.
 
 The tables hold no speech predictions, so references and models' outputs are derived from
-``documents`` by token arithmetic: ``echo`` repeats the reference, the panel ``aud_a`` to
-``aud_d`` drops the first two tokens, drops the last one or adds two at the end by doc_id
-modulo 3, ``half`` sides with the panel or not, ``silent`` says nothing, ``partial`` is absent
+``documents`` by token arithmetic. Texts are cut into clips of 24 tokens, the last one taking
+the rest, so that every token is in a clip. ``echo`` repeats the reference. What is heard
+differs from it by the clip's key modulo 6, in clips of 8 tokens or more: the first two
+tokens or the last one are missing, two more follow, a token amid or at the start is written
+otherwise (if the clip's tokens all differ), or nothing is wrong. The panel ``aud_a`` to
+``aud_d`` writes what is heard, but by the key modulo 4 one or two of it side with the
+reference; ``half`` does by the key modulo 5; ``silent`` says nothing; ``partial`` is absent
 for some.
 """
 
@@ -45,26 +49,40 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 _N1 = r"""trim(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g'))"""
 #: refs and hyps in SQL; every query's SQL begins with what it needs of them.
-_REFS = rf"""normal AS (SELECT doc_id, {_N1} AS n1, text, source, lang FROM documents),
-refs AS (SELECT doc_id, string_split(n1, ' ')[1:24] AS rt, source, lang FROM normal WHERE len(string_split(n1, ' ')) >= 8 AND n1 <> '')"""
-_HYPS = """panel AS (SELECT doc_id, rt, CASE doc_id % 3 WHEN 0 THEN rt[3:] WHEN 1 THEN rt[:-2] ELSE list_concat(rt, ['thank', 'you']) END AS heard FROM refs),
-hyps AS (SELECT doc_id, rt, m AS model, CASE WHEN m LIKE 'aud_%' THEN heard WHEN m = 'silent' THEN [] WHEN m = 'half' AND doc_id % 5 = 0 THEN heard ELSE rt END AS ht
-  FROM panel, (VALUES ('echo'), ('aud_a'), ('aud_b'), ('aud_c'), ('aud_d'), ('half'), ('silent'), ('partial')) v(m) WHERE NOT (m = 'partial' AND doc_id % 7 = 0))"""
+_REFS = rf"""normal AS (SELECT doc_id, string_split({_N1}, ' ') AS w, {_N1} AS n1, source, lang FROM documents),
+refs AS (SELECT doc_id * 100000 + i AS k, w[i * 24 + 1 : CASE WHEN (i + 2) * 24 > len(w) THEN len(w) ELSE (i + 1) * 24 END] AS rt, source, lang FROM normal, range(0, greatest(1, len(w) // 24)) c(i) WHERE n1 <> '')"""
+_HYPS = """turns AS (SELECT *, CASE WHEN len(rt) < 8 OR k % 6 IN (3, 4) AND len(list_distinct(rt)) < len(rt) THEN 5 ELSE k % 6 END AS turn, CASE k % 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 4 END AS agree FROM refs),
+subs AS (SELECT *, CASE turn WHEN 3 THEN len(rt) // 2 WHEN 4 THEN 0 END AS p FROM turns),
+wrote AS (SELECT *, CASE k // 6 % 3 WHEN 0 THEN 'ʘʘ' WHEN 1 THEN rt[p + 1] || 'q' ELSE substr(rt[p + 1], 1, length(rt[p + 1]) // 2) || 'ʘ' END AS sub, CASE k // 6 % 3 WHEN 0 THEN 0 WHEN 1 THEN length(rt[p + 1]) ELSE length(rt[p + 1]) // 2 END AS same FROM subs),
+panel AS (SELECT *, CASE WHEN turn = 0 THEN rt[3:] WHEN turn = 1 THEN rt[:-2] WHEN turn = 2 THEN list_concat(rt, ['thank', 'you']) WHEN p IS NOT NULL THEN list_concat(rt[:p], [sub], rt[p + 2:]) ELSE rt END AS heard FROM wrote),
+hyps AS (SELECT *, m AS model, CASE WHEN m = 'aud_d' AND agree < 4 OR m = 'aud_c' AND agree < 3 THEN rt WHEN m LIKE 'aud_%' THEN heard WHEN m = 'silent' THEN [] WHEN m = 'half' AND k % 5 = 0 THEN heard ELSE rt END AS ht
+  FROM panel, (VALUES ('echo'), ('aud_a'), ('aud_b'), ('aud_c'), ('aud_d'), ('half'), ('silent'), ('partial')) v(m) WHERE NOT (m = 'partial' AND k % 7 = 0))"""
+_SETTINGS = consensus.Settings(majority=0.75)
 
 
 def refs(spark: SparkSession, folder: str) -> DataFrame:
-    """(clip_key, ref_tokens): the first 24 normalized tokens of documents with 8 or more."""
+    """(clip_key, ref_tokens, source, lang): all normalized tokens of the documents, in clips."""
     words = tx.tokens(tx.basic_normalize(F.col("text")))
-    return _t(spark, folder, "documents").select(F.col("doc_id").alias("clip_key"), words.alias("w"), "source", "lang").where(F.size("w") >= 8).select("clip_key", F.slice("w", 1, 24).alias("ref_tokens"), "source", "lang")
+    n = F.greatest(F.lit(1), F.floor(F.size("w") / 24).cast("int"))
+    rows = _t(spark, folder, "documents").select("doc_id", words.alias("w"), "source", "lang").where(F.size("w") > 0)
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.slice("w", i * 24 + 1, F.when(i == n - 1, F.size("w")).otherwise(F.lit(24))).alias("ref_tokens")))
+    return rows.select("doc_id", F.inline(each), "source", "lang").select((F.col("doc_id") * 100000 + F.col("i")).alias("clip_key"), "ref_tokens", "source", "lang")
 
 
 def hyps(spark: SparkSession, folder: str) -> DataFrame:
     """(clip_key, ref_tokens, model, hyp_tokens, source)."""
-    rt, k = F.col("ref_tokens"), F.col("clip_key")
-    heard = F.when(k % 3 == 0, F.slice(rt, 3, 24)).when(k % 3 == 1, F.slice(rt, 1, F.size(rt) - 1)).otherwise(F.concat(rt, F.array(F.lit("thank"), F.lit("you"))))
-    outputs = {"echo": rt, **dict.fromkeys(PANEL, heard), "half": F.when(k % 5 == 0, heard).otherwise(rt), "silent": F.array().cast("array<string>"), "partial": F.when(k % 7 != 0, rt)}
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), h.alias("hyp_tokens")) for m, h in outputs.items())))
-    return refs(spark, folder).select("clip_key", "ref_tokens", "source", each.alias("h")).select("clip_key", "ref_tokens", "source", "h.*").where("hyp_tokens is not null")
+    rt, k, n = F.col("ref_tokens"), F.col("clip_key"), F.size("ref_tokens")
+    turn = F.when((n < 8) | ((k % 6).isin(3, 4) & (F.size(F.array_distinct(rt)) < n)), 5).otherwise(k % 6)
+    place = F.when(F.col("turn") == 3, F.floor(n / 2).cast("int")).when(F.col("turn") == 4, 0)
+    token, kind = F.get(rt, F.col("p")), F.floor(k / 6) % 3
+    sub = F.when(kind == 0, "ʘʘ").when(kind == 1, F.concat(token, F.lit("q"))).otherwise(F.concat(F.substring(token, F.lit(1), F.floor(F.length(token) / 2).cast("int")), F.lit("ʘ")))
+    changed = F.transform(rt, lambda w, i: F.when(i == F.col("p"), F.col("sub")).otherwise(w))
+    heard = F.when(F.col("turn") == 0, F.slice(rt, 3, n)).when(F.col("turn") == 1, F.slice(rt, 1, F.greatest(n - 1, F.lit(0)))).when(F.col("turn") == 2, F.concat(rt, F.array(F.lit("thank"), F.lit("you")))).when(F.col("p").isNotNull(), changed).otherwise(rt)
+    rows = refs(spark, folder).withColumn("turn", turn).withColumn("p", place).withColumn("sub", sub).withColumn("heard", heard)
+    h, doubt = F.col("heard"), (k % 4).isin(1, 2)
+    outputs = {"echo": rt, "aud_a": h, "aud_b": h, "aud_c": F.when(k % 4 == 2, rt).otherwise(h), "aud_d": F.when(doubt, rt).otherwise(h), "half": F.when(k % 5 == 0, h).otherwise(rt), "silent": F.array().cast("array<string>"), "partial": F.when(k % 7 != 0, rt)}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), x.alias("hyp_tokens")) for m, x in outputs.items())))
+    return rows.select("clip_key", "ref_tokens", "source", each.alias("h")).select("clip_key", "ref_tokens", "source", "h.*").where("hyp_tokens is not null")
 
 
 # ------------------------------------------------------------------ text
@@ -74,9 +92,9 @@ def basic_normalize(spark, folder):
     return _t(spark, folder, "documents").select("doc_id", tx.basic_normalize(F.col("text")).alias("normalized"))
 
 
-@_query(r"SELECT doc_id, trim(regexp_replace('漢字 ' || substr(text, 1, 40) || ' かな', '([㐀-䶿一-鿿぀-ゟ゠-ヿ가-힯])', ' \1 ', 'g')) AS spaced FROM documents")
+@_query(r"SELECT doc_id, trim(regexp_replace('漢字 ' || text || ' かな', '([㐀-䶿一-鿿぀-ゟ゠-ヿ가-힯])', ' \1 ', 'g')) AS spaced FROM documents")
 def cjk_spacing(spark, folder):
-    mixed = F.concat(F.lit("漢字 "), F.substring("text", 1, 40), F.lit(" かな"))
+    mixed = F.concat(F.lit("漢字 "), F.col("text"), F.lit(" かな"))
     return _t(spark, folder, "documents").select("doc_id", F.trim(tx.space_cjk(mixed)).alias("spaced"))
 
 
@@ -86,11 +104,11 @@ def tokens(spark, folder):
     return _t(spark, folder, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.get(words, F.lit(0)).alias("first_token"))
 
 
-@_query(r"""SELECT doc_id, regexp_replace('a (b c) ' || substr(text, 1, 30), '[(（][^)）]+?[)）]', '', 'g') AS stripped, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS fuzzy,
+@_query(r"""SELECT doc_id, regexp_replace('a (b c) ' || text, '[(（][^)）]+?[)）]', '', 'g') AS stripped, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS fuzzy,
 regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z0-9]', '', 'g') AS word, trim(string_split(text, ' ')[1], '.,;:!?"''') AS bare, regexp_extract(lower(lang || '_XX'), '^[^_-]*') AS subtag FROM documents""")
 def word_forms(spark, folder):
     first = F.get(F.split("text", " "), F.lit(0))
-    return _t(spark, folder, "documents").select("doc_id", tx.strip_parentheses(F.concat(F.lit("a (b c) "), F.substring("text", 1, 30))).alias("stripped"), tx.fuzzy_form(F.col("text")).alias("fuzzy"), tx.word_form(first).alias("word"), tx.core(first).alias("bare"), tx.language_subtag(F.concat("lang", F.lit("_XX"))).alias("subtag"))
+    return _t(spark, folder, "documents").select("doc_id", tx.strip_parentheses(F.concat(F.lit("a (b c) "), "text")).alias("stripped"), tx.fuzzy_form(F.col("text")).alias("fuzzy"), tx.word_form(first).alias("word"), tx.core(first).alias("bare"), tx.language_subtag(F.concat("lang", F.lit("_XX"))).alias("subtag"))
 
 
 # ------------------------------------------------------------------ identity rules
@@ -116,19 +134,19 @@ def coverage(spark, folder):
     return hyps(spark, folder).groupBy("model").agg(F.count("*").alias("n_clips")).orderBy(F.desc("n_clips"), "model")
 
 
-@_query(f"WITH {_REFS}, {_HYPS} SELECT doc_id AS clip_key, count(*) AS n_models FROM hyps GROUP BY 1 HAVING count(*) = 8")
+@_query(f"WITH {_REFS}, {_HYPS} SELECT k AS clip_key, count(*) AS n_models FROM hyps GROUP BY 1 HAVING count(*) = 8")
 def require_all_clips(spark, folder):
     return hyps(spark, folder).groupBy("clip_key").agg(F.count("*").alias("n_models")).where("n_models = 8")
 
 
 # ------------------------------------------------------------------ alignment
 
-_PURE = f"WITH {_REFS}, {_HYPS}, runs AS (SELECT doc_id, model, rt, ht, (SELECT min(i) FROM range(0, len(rt) - len(ht) + 1) r(i) WHERE rt[i + 1 : i + len(ht)] = ht) AS place FROM hyps WHERE len(ht) <= len(rt))"
+_PURE = f"WITH {_REFS}, {_HYPS}, runs AS (SELECT k, model, rt, ht, p, (SELECT min(i) FROM range(0, len(rt) - len(ht) + 1) r(i) WHERE rt[i + 1 : i + len(ht)] = ht) AS place FROM hyps WHERE len(ht) <= len(rt))"
 
 
-@_query(_PURE + " SELECT doc_id AS clip_key, model, len(ht) AS matched, len(rt) - len(ht) AS n_missed, CASE WHEN len(ht) = len(rt) THEN -1 WHEN place > 0 OR len(ht) = 0 THEN 0 ELSE len(ht) END AS first_missed FROM runs")
+@_query(_PURE + " SELECT k AS clip_key, model, len(ht) - (ht <> rt AND len(ht) = len(rt))::INT AS matched, len(rt) - len(ht) + (ht <> rt AND len(ht) = len(rt))::INT AS n_missed, CASE WHEN ht = rt THEN -1 WHEN len(ht) = len(rt) THEN p WHEN place > 0 OR len(ht) = 0 THEN 0 ELSE len(ht) END AS first_missed FROM runs")
 def missed_positions(spark, folder):
-    """Pure deletions: what is left stands first where it can."""
+    """Deletions and replacements; what is left of a pure deletion stands first where it can."""
     rows = consensus.aligned(hyps(spark, folder).where(F.size("hyp_tokens") <= F.size("ref_tokens")))
     return rows.select("clip_key", "model", F.col("matched").cast("bigint").alias("matched"), F.size(align.missed_indices(F.col("ops"))).cast("bigint").alias("n_missed"), F.coalesce(F.get(align.missed_indices(F.col("ops")), F.lit(0)), F.lit(-1)).cast("bigint").alias("first_missed"))
 
@@ -139,38 +157,41 @@ def align_ops(spark, folder):
     return rows.select("clip_key", "model", F.posexplode("ops").alias("n", "o")).select("clip_key", "model", "n", "o.*")
 
 
-@_query(f"WITH {_REFS}, {_HYPS} SELECT doc_id AS clip_key, model, CASE WHEN len(ht) = 0 THEN 1.0 ELSE 0.0 END AS cer FROM hyps WHERE model IN ('echo', 'silent')")
+@_query(f"""WITH {_REFS}, {_HYPS}, c AS (SELECT *, length(array_to_string(rt, '')) AS a, length(array_to_string(ht, '')) AS b FROM hyps)
+SELECT k AS clip_key, model, round(CASE WHEN ht = rt OR len(ht) > len(rt) THEN 0 WHEN len(ht) = len(rt) THEN (length(rt[p + 1]) - same) / a::DOUBLE ELSE (a - b) / a::DOUBLE END, 9) AS cer FROM c""")
 def char_cer(spark, folder):
-    rows = hyps(spark, folder).where(F.col("model").isin("echo", "silent"))
-    return rows.select("clip_key", "model", align.char_cer(F.array_join("ref_tokens", " "), F.array_join("hyp_tokens", " ")).alias("cer"))
+    """Characters lost: those of what was dropped, and of a token written otherwise those that the two don't share at its start."""
+    rows = hyps(spark, folder)
+    return rows.select("clip_key", "model", F.round(align.char_cer(F.array_join("ref_tokens", " "), F.array_join("hyp_tokens", " ")), 9).alias("cer"))
 
 
-@_query(f"WITH {_REFS}, {_HYPS} SELECT doc_id AS clip_key, model, CASE WHEN len(ht) < len(rt) THEN len(rt) - len(ht) ELSE len(ht) - len(rt) END AS edits FROM hyps")
+@_query(f"WITH {_REFS}, {_HYPS} SELECT k AS clip_key, model, CASE WHEN len(ht) = len(rt) THEN (ht <> rt)::BIGINT WHEN len(ht) < len(rt) THEN len(rt) - len(ht) ELSE len(ht) - len(rt) END AS edits FROM hyps")
 def token_edits(spark, folder):
-    """Outputs that only drop or only add tokens: the distance is the difference in length."""
+    """The distance is the difference in length, or one for a token written otherwise."""
     return hyps(spark, folder).select("clip_key", "model", align.token_edits("ref_tokens", "hyp_tokens").cast("bigint").alias("edits"))
 
 
 # ------------------------------------------------------------------ reference errors
 
-#: What the panel's unanimous votes make of each clip, in SQL. A drop may stand elsewhere than where it was made, by the first-place rule.
-_EDITS = f"""WITH {_REFS}, {_HYPS}, votes AS (SELECT doc_id, rt, heard, (SELECT min(i) FROM range(0, len(rt) - len(heard) + 1) r(i) WHERE rt[i + 1 : i + len(heard)] = heard) AS place FROM panel),
-edits AS (SELECT doc_id, rt, 'delete' AS kind, CASE WHEN place > 0 THEN 0 ELSE len(heard) END AS first, len(rt) - len(heard) AS n, rt[CASE WHEN place > 0 THEN 1 ELSE len(heard) + 1 END : CASE WHEN place > 0 THEN place ELSE len(rt) END] AS tokens FROM votes WHERE doc_id % 3 < 2
-  UNION ALL SELECT doc_id, rt, 'insert', len(rt), 2, ['thank', 'you'] FROM votes WHERE doc_id % 3 = 2),
-verdicts AS (SELECT e.doc_id, kind, first, n, model, CASE WHEN len(ht) = 0 THEN NULL WHEN ht = rt2 THEN 'ref' ELSE 'consensus' END AS verdict FROM edits e JOIN (SELECT doc_id, model, ht, rt AS rt2 FROM hyps) h USING (doc_id))"""
+#: What the panel's votes make of each clip, in SQL: three must agree. A drop may stand elsewhere than where it was made, by the first-place rule; a first token written much alike is no error.
+_EDITS = f"""WITH {_REFS}, {_HYPS}, votes AS (SELECT *, (SELECT min(i) FROM range(0, len(rt) - len(heard) + 1) r(i) WHERE rt[i + 1 : i + len(heard)] = heard) AS place, 1 - same / length(rt[1])::DOUBLE AS cer FROM panel WHERE agree >= 3),
+edits AS (SELECT k, rt, agree, 'delete' AS kind, CASE WHEN place > 0 THEN 0 ELSE len(heard) END AS first, len(rt) - len(heard) AS n, rt[CASE WHEN place > 0 THEN 1 ELSE len(heard) + 1 END : CASE WHEN place > 0 THEN place ELSE len(rt) END] AS tokens, 1.0::DOUBLE AS cer FROM votes WHERE turn < 2
+  UNION ALL SELECT k, rt, agree, 'insert', len(rt), 2, ['thank', 'you'], NULL FROM votes WHERE turn = 2
+  UNION ALL SELECT k, rt, agree, 'delete', 0, 1, rt[1:1], cer FROM votes WHERE turn = 4 AND cer >= 0.3),
+verdicts AS (SELECT e.k, kind, first, n, model, CASE WHEN len(ht) = 0 THEN NULL WHEN ht = rt2 THEN 'ref' ELSE 'consensus' END AS verdict FROM edits e JOIN (SELECT k, model, ht, rt AS rt2 FROM hyps) h USING (k))"""
 
 
 def _edits(spark, folder):
-    return consensus.find_ref_edits(hyps(spark, folder), PANEL)
+    return consensus.find_ref_edits(hyps(spark, folder), PANEL, settings=_SETTINGS)
 
 
-@_query(_EDITS + " SELECT doc_id AS clip_key, kind, CASE WHEN kind = 'insert' THEN 'end' WHEN first = 0 THEN 'start' ELSE 'end' END AS position, array_to_string(tokens, ' ') AS text, first, n AS n_tokens, 4 AS n_panel_agree, 4 AS n_panel FROM edits")
+@_query(_EDITS + " SELECT k AS clip_key, kind, CASE WHEN kind = 'insert' THEN 'end' WHEN first = 0 THEN 'start' ELSE 'end' END AS position, array_to_string(tokens, ' ') AS text, first, n AS n_tokens, agree AS n_panel_agree, 4 AS n_panel, round(cer, 9) AS cer FROM edits")
 def ref_edits(spark, folder):
     big = lambda c: F.col(c).cast("bigint").alias(c)
-    return _edits(spark, folder).select("clip_key", "kind", "position", F.array_join("tokens", " ").alias("text"), big("first"), F.size("tokens").cast("bigint").alias("n_tokens"), big("n_panel_agree"), big("n_panel"))
+    return _edits(spark, folder).select("clip_key", "kind", "position", F.array_join("tokens", " ").alias("text"), big("first"), F.size("tokens").cast("bigint").alias("n_tokens"), big("n_panel_agree"), big("n_panel"), F.round("consensus_cer", 9).alias("cer"))
 
 
-@_query(_EDITS + " SELECT doc_id AS clip_key, kind, first, model, verdict FROM verdicts")
+@_query(_EDITS + " SELECT k AS clip_key, kind, first, model, verdict FROM verdicts")
 def verdicts(spark, folder):
     return consensus.verdicts(_edits(spark, folder)).select("clip_key", "kind", F.col("first").cast("bigint").alias("first"), "model", "verdict")
 
@@ -191,29 +212,28 @@ def accept_ref_rate(spark, folder):
     return _rounded(consensus.accept_ref_rate(_edits(spark, folder)), "rate", "lo", "hi")
 
 
-@_query(_EDITS + """, t AS (SELECT count(*) AS n_clips, sum(len(rt)) AS total FROM refs), e AS (SELECT count(DISTINCT doc_id) AS flagged, sum(n) FILTER (kind = 'delete') AS spurious, sum(n) FILTER (kind = 'insert') AS missing, count(*) AS n_edits FROM edits)
+@_query(_EDITS + """, t AS (SELECT count(*) AS n_clips, sum(len(rt)) AS total FROM refs), e AS (SELECT count(DISTINCT k) AS flagged, sum(n) FILTER (kind = 'delete') AS spurious, sum(n) FILTER (kind = 'insert') AS missing, count(*) AS n_edits FROM edits)
 SELECT n_clips, flagged AS n_flagged, n_edits, spurious::BIGINT AS spurious_tokens, missing::BIGINT AS missing_tokens, round(spurious / total::DOUBLE, 9) AS spurious_word_rate, round((spurious + missing) / total::DOUBLE, 9) AS combined_rate FROM t, e""")
 def prominence(spark, folder):
     found = consensus.prominence(_edits(spark, folder), refs(spark, folder))
     return _rounded(found.select("n_clips", "n_flagged", "n_edits", "spurious_tokens", "missing_tokens", "spurious_word_rate", "combined_rate"), "spurious_word_rate", "combined_rate")
 
 
-@_query(f"WITH {_REFS}, {_HYPS} SELECT doc_id AS clip_key, array_to_string(heard, ' ') AS corrected FROM panel")
+@_query(f"WITH {_REFS}, {_HYPS} SELECT k AS clip_key, array_to_string(CASE WHEN agree < 4 THEN rt WHEN turn < 3 THEN heard WHEN turn = 4 AND 1 - same / length(rt[1])::DOUBLE >= 0.3 THEN rt[2:] ELSE rt END, ' ') AS corrected FROM panel")
 def corrected_transcript(spark, folder):
-    """Unanimous edits turn each reference into what the panel heard."""
+    """Unanimous edits turn each reference into what the panel heard; a word written otherwise is dropped."""
     return consensus.corrected_transcripts(refs(spark, folder), _edits(spark, folder)).select("clip_key", F.array_join("corrected", " ").alias("corrected"))
 
 
-@_query(f"WITH {_REFS}, {_HYPS} SELECT doc_id AS clip_key, (length(array_to_string(rt, '')) - CASE WHEN doc_id % 3 = 2 THEN length(array_to_string(rt, '')) ELSE length(array_to_string(heard, '')) END) AS chars FROM panel")
+@_query(f"WITH {_REFS}, {_HYPS} SELECT k AS clip_key, model, (CASE WHEN ht = rt OR len(ht) > len(rt) THEN 0 WHEN len(ht) = len(rt) THEN length(rt[p + 1]) ELSE length(array_to_string(rt, '')) - length(array_to_string(ht, '')) END)::BIGINT AS chars FROM hyps")
 def edit_span_chars(spark, folder):
-    """Pure drops at an end leave exactly the dropped characters, pure additions none."""
-    rows = hyps(spark, folder).where(F.col("model") == "aud_a")
-    return rows.select("clip_key", align.edit_span_chars(F.col("ref_tokens"), F.col("hyp_tokens")).cast("bigint").alias("chars"))
+    """Pure drops at an end leave exactly the dropped characters, a token written otherwise all of its own, pure additions none."""
+    return hyps(spark, folder).select("clip_key", "model", align.edit_span_chars(F.col("ref_tokens"), F.col("hyp_tokens")).cast("bigint").alias("chars"))
 
 
 # ------------------------------------------------------------------ switch rate
 
-_SWITCH = """WITH v AS (SELECT doc_id, doc_id % 4 AS c, 'spoke ' || regexp_replace(substr(text, 1, 20), '[^a-z ]', '', 'g') AS tail FROM documents),
+_SWITCH = """WITH v AS (SELECT doc_id, doc_id % 4 AS c, 'spoke ' || regexp_replace(text, '[^a-z ]', '', 'g') AS tail FROM documents),
 refs AS (SELECT doc_id, c, tail, CASE WHEN c = 0 THEN 'Mr. Smith ' WHEN c = 1 THEN 'mister Smith ' WHEN c = 2 THEN 'any one ' ELSE 'anyone ' END || tail AS reference FROM v),
 clips AS (SELECT doc_id, reference, m AS model, CASE m WHEN 'copies' THEN reference WHEN 'fixed' THEN CASE WHEN c < 2 THEN 'mister Smith ' ELSE 'anyone ' END || tail ELSE CASE WHEN doc_id % 3 = 0 THEN reference WHEN c < 2 THEN 'Mr Smith ' || tail ELSE 'any one ' || tail END END AS hypothesis FROM refs, (VALUES ('copies'), ('fixed'), ('mixed')) w(m)),
 arms AS (SELECT *, CASE WHEN regexp_matches(reference, '(?i)\\bmr\\.?\\s+\\w') OR regexp_matches(reference, '(?i)\\bmister\\b') THEN 'hon_mister' ELSE 'sp_anyone' END AS family, CASE WHEN regexp_matches(reference, '(?i)\\bmr\\.?\\s+\\w|\\bany one\\b') THEN 0 ELSE 1 END AS arm FROM clips),
@@ -222,7 +242,7 @@ tally AS (SELECT family, model, arm, count(*) FILTER (hit) AS hits, count(*) AS
 
 
 def _switch_clips(documents: DataFrame) -> DataFrame:
-    d = documents.select("doc_id", (F.col("doc_id") % 4).alias("c"), F.concat(F.lit("spoke "), F.regexp_replace(F.substring("text", 1, 20), "[^a-z ]", "")).alias("tail"))
+    d = documents.select("doc_id", (F.col("doc_id") % 4).alias("c"), F.concat(F.lit("spoke "), F.regexp_replace(F.col("text"), "[^a-z ]", "")).alias("tail"))
     head = F.when(F.col("c") == 0, "Mr. Smith ").when(F.col("c") == 1, "mister Smith ").when(F.col("c") == 2, "any one ").otherwise("anyone ")
     r = d.withColumn("reference", F.concat(head, "tail"))
     fixed = F.concat(F.when(F.col("c") < 2, "mister Smith ").otherwise("anyone "), "tail")
@@ -298,7 +318,7 @@ def mode_first_seen(spark, folder):
 
 # ------------------------------------------------------------------ masked entities
 
-_MASK = f"WITH {_REFS}, m AS (SELECT doc_id, rt, (doc_id % len(rt))::INT AS target FROM refs), h AS (SELECT doc_id, target, rt[target + 1] AS hidden, v.cond, CASE WHEN v.cond = 'masked' AND doc_id % 3 <> 0 OR v.cond = 'open' AND doc_id % 5 = 0 THEN list_concat(rt[:target], rt[target + 2:]) ELSE rt END AS ht FROM m, (VALUES ('open'), ('masked')) v(cond)), hits AS (SELECT doc_id, cond, list_contains(ht, hidden) AS hit FROM h)"
+_MASK = f"WITH {_REFS}, m AS (SELECT k, rt, (k % len(rt))::INT AS target FROM refs), h AS (SELECT k, target, rt[target + 1] AS hidden, v.cond, CASE WHEN v.cond = 'masked' AND k % 3 <> 0 OR v.cond = 'open' AND k % 5 = 0 THEN list_concat(rt[:target], rt[target + 2:]) ELSE rt END AS ht FROM m, (VALUES ('open'), ('masked')) v(cond)), hits AS (SELECT k, cond, list_contains(ht, hidden) AS hit FROM h)"
 
 
 def _masked(spark, folder):
@@ -310,7 +330,7 @@ def _masked(spark, folder):
     return rows.withColumn("hit", masked.strict_hit(F.col("hidden_ref"), F.col("hypothesis")))
 
 
-@_query(_MASK + " SELECT doc_id AS clip_key, cond, hit FROM hits")
+@_query(_MASK + " SELECT k AS clip_key, cond, hit FROM hits")
 def masked_hit_strict(spark, folder):
     return _masked(spark, folder).select("clip_key", "cond", "hit")
 
@@ -320,14 +340,14 @@ def leak_rate(spark, folder):
     return _rounded(masked.leak_rate(_masked(spark, folder), "cond"), "rate")
 
 
-@_query(_MASK + ", w AS (SELECT doc_id, bool_or(hit) FILTER (cond = 'open') AS o, bool_or(hit) FILTER (cond = 'masked') AS m FROM hits GROUP BY 1) SELECT 'm' AS model, count(*) AS n_unmasked_eval, count(*) FILTER (o) AS n_gate_pass, count(*) FILTER (o AND m) AS masked_leak, count(*) FILTER (o) AS n_gated, round(count(*) FILTER (o) / count(*)::DOUBLE, 9) AS unmasked_rate, round(count(*) FILTER (o AND m) / count(*) FILTER (o)::DOUBLE, 9) AS masked_retrieval FROM w")
+@_query(_MASK + ", w AS (SELECT k, bool_or(hit) FILTER (cond = 'open') AS o, bool_or(hit) FILTER (cond = 'masked') AS m FROM hits GROUP BY 1) SELECT 'm' AS model, count(*) AS n_unmasked_eval, count(*) FILTER (o) AS n_gate_pass, count(*) FILTER (o AND m) AS masked_leak, count(*) FILTER (o) AS n_gated, round(count(*) FILTER (o) / count(*)::DOUBLE, 9) AS unmasked_rate, round(count(*) FILTER (o AND m) / count(*) FILTER (o)::DOUBLE, 9) AS masked_retrieval FROM w")
 def gated_rate(spark, folder):
     rows = _masked(spark, folder)
     found = masked.gated_rate(rows.where("cond = 'masked'"), rows.where("cond = 'open'"))
     return _rounded(found, "unmasked_rate", "masked_retrieval")
 
 
-@_query(_MASK + ", w AS (SELECT doc_id, bool_or(hit) FILTER (cond = 'open') AS o, bool_or(hit) FILTER (cond = 'masked') AS m FROM hits GROUP BY 1) SELECT doc_id AS clip_key, CASE WHEN m THEN 0 ELSE 1 END AS difference FROM w WHERE o AND (SELECT count(*) FROM w WHERE o) >= 5")
+@_query(_MASK + ", w AS (SELECT k, bool_or(hit) FILTER (cond = 'open') AS o, bool_or(hit) FILTER (cond = 'masked') AS m FROM hits GROUP BY 1) SELECT k AS clip_key, CASE WHEN m THEN 0 ELSE 1 END AS difference FROM w WHERE o AND (SELECT count(*) FROM w WHERE o) >= 5")
 def paired_diff(spark, folder):
     """Hits on unmasked output less hits on masked output, on clips that are gotten unmasked."""
     rows = _masked(spark, folder)
@@ -402,10 +422,10 @@ def nll_summary(spark, folder):
     return nll.summary(rows, ["label"]).select("label", "n", F.round("mean_nll_full", 6).alias("mean_nll_full"), F.round("median_recovery", 6).alias("median_recovery"))
 
 
-@_query(r"WITH b AS (SELECT item_id, text FROM benchmark), w AS (SELECT item_id, list_filter(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z'']+'), lambda x: x NOT IN ('the', 'of')) AS a, regexp_extract_all(lower(substr(text, 31)), '[a-z'']+') AS c FROM b) SELECT item_id, CASE WHEN len(a) > 0 THEN round(len(list_filter(a, lambda x: list_contains(c, x))) / len(a)::DOUBLE, 9) END AS leak FROM w")
+@_query(r"WITH b AS (SELECT item_id, text FROM benchmark), w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda x: x NOT IN ('the', 'of')) AS a, regexp_extract_all(lower(substr(text, 31)), '[a-z'']+') AS c FROM b) SELECT item_id, CASE WHEN len(a) > 0 THEN round(len(list_filter(a, lambda x: list_contains(c, x))) / len(a)::DOUBLE, 9) END AS leak FROM w")
 def gen_leak(spark, folder):
     stop = F.array(F.lit("the"), F.lit("of"))
-    found = nll.gen_leak(F.substring("text", 1, 60), F.substring(F.col("text"), F.lit(31), F.length("text")), stop)
+    found = nll.gen_leak(F.col("text"), F.substring(F.col("text"), F.lit(31), F.length("text")), stop)
     return _t(spark, folder, "benchmark").select("item_id", F.round(F.nanvl(found, F.lit(None).cast("double")), 9).alias("leak"))
 
 
