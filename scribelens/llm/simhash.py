@@ -257,10 +257,13 @@ def _difference_pairs(members: DataFrame, similarity: float) -> DataFrame:
     slack = (1 - similarity) / (1 + similarity)
     # more than a sixteenth of an owner's texts have them: at most sixteen times a text's changes
     texts = members.groupBy("a").agg(F.count("*").alias("texts"))
+    # dealt by text, since one owner may have most texts; small tables are stored first, so that Spark knows their size
+    members = members.repartition("b")
     common = members.select("a", F.explode("change").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n")).where("n >= 8")
     common = common.join(texts, "a").where("n * 16 > texts").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("common"))
+    common = stored(common, "common")
     ordered = F.when(F.col("common").isNull(), F.col("change")).otherwise(F.concat(F.array_except("change", "common"), F.array_intersect("common", "change")))
-    members = stored(members.join(common, "a", "left").withColumn("change", ordered).drop("common"), "changes")
+    members = stored(members.join(common, "a", "left").withColumn("change", ordered).drop("common"), "changes").repartition("b")
     d = F.size("change")
     least_y = F.floor((d + (F.col("na") - F.col("nb")) * slack) / 2 + 1e-6).cast("int")  # this many and one more
     least_x = F.ceil(d - F.col("nb") * ((1 - similarity) / similarity) - 1e-6).cast("int")
@@ -319,10 +322,10 @@ def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, r
         marked = seen.join(roots.toDF("a", "root"), "a", "left").join(roots.toDF("b", "other"), "b", "left").withColumn("fringe", (F.col("j") < similarity) & apart)
         marked = stored(marked.select(*seen.columns, "fringe"), "marked")
         release(roots)
-        owners = marked.where("fringe").select("a").distinct()
+        owners = stored(marked.where("fringe").select("a").distinct(), "owners")
         found = stored(_difference_pairs(marked.join(owners, "a", "left_semi"), similarity), "fringe")
         both = stored(alike.unionByName(_similarities(found, sets).where(F.col("j") >= similarity).select("a", "b")), "alike")
-        release(alike, marked, found, *near)
+        release(alike, marked, owners, found, *near)
         alike = both
     else:
         alike = stored(alike, "alike")
