@@ -216,10 +216,10 @@ def _shingler(words: int):
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """(a, b, j): the Jaccard similarity of each pair (a, b) by the shingles of ``sets``; with ``differences`` also the sets' sizes and what b has beyond a, then what it lacks of a, each in order."""
+    """(a, b, j): the Jaccard similarity of each pair (a, b) by the shingles of ``sets``; with ``differences`` also the sets' sizes and what b has beyond a, then what it lacks of a, each in order, and the number of the latter."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    more = [F.size("x").alias("na"), F.size("y").alias("nb"), F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y"))).alias("change")] if differences else []
+    more = [F.size("x").alias("na"), F.size("y").alias("nb"), F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y"))).alias("change"), (F.size("x") - common).alias("lacks")] if differences else []
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"), *more)
 
 
@@ -230,13 +230,20 @@ def _within(groups: DataFrame, bucket: int) -> DataFrame:
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, whatever their keys."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """All pairs (a, b), a < b, that can reach ``similarity``: two such sets share one of the rarest shingles of each, after which enough are left in both."""
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    each = _dealt(sets.select("id", "shingles")).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # shingles that only one text has come first and meet nothing, so only their number counts
     ranked = each.join(often, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("ranked"))
-    most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
-    prefix = stored(ranked.select("id", "n", F.posexplode(F.slice("ranked", 1, most)).alias("p", "s")).where("s.often > 1").select("id", "n", "p", "s.shingle"), "prefix")
+    ranked = ranked.withColumn("own", F.col("n") - F.size("ranked"))
+    most = F.greatest(F.col("n") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1 - F.col("own"), F.lit(0))
+    prefix = stored(ranked.select("id", "n", "own", F.posexplode(F.slice("ranked", 1, most)).alias("at", "s")).select("id", "n", (F.col("own") + F.col("at")).alias("p"), "s.shingle"), "prefix")
     fits = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity - 1e-6
     left = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) >= (F.col("l.n") + F.col("r.n")) * (similarity / (1 + similarity)) - 1e-6
     pairs = prefix.alias("l").join(prefix.alias("r"), "shingle").where((F.col("l.id") < F.col("r.id")) & fits & left)
@@ -251,19 +258,21 @@ def _difference_pairs(members: DataFrame, similarity: float) -> DataFrame:
     Two texts x and y differ where exactly one of their changes against the owner o does, so
     at similarity t their changes share (|dx| + |dy| - (|x| + |y|)(1 - t)/(1 + t)) / 2 or
     more. For a text on the fringe |dx| > (|x| + |o|)(1 - t)/(1 + t), so of y's changes more
-    than half must be shared and one of their first half or so stands among x's. Changes that
-    many texts of the owner have in common come last, so these are new shingles of y itself.
+    than half must be shared and one of their first half or so stands among x's. First come
+    new shingles that few of the owner's texts have, then those that many have, then what is
+    lacking of the owner, so texts that merely lack the same shingles seldom meet.
     """
     slack = (1 - similarity) / (1 + similarity)
     # more than a sixteenth of an owner's texts have them: at most sixteen times a text's changes
     texts = members.groupBy("a").agg(F.count("*").alias("texts"))
     # dealt by text, since one owner may have most texts; small tables are stored first, so that Spark knows their size
-    members = members.repartition("b")
-    common = members.select("a", F.explode("change").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n")).where("n >= 8")
+    new = F.slice("change", 1, F.size("change") - F.col("lacks"))
+    common = _dealt(members.select("a", new.alias("new"))).select("a", F.explode("new").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n")).where("n >= 8")
     common = common.join(texts, "a").where("n * 16 > texts").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("common"))
     common = stored(common, "common")
-    ordered = F.when(F.col("common").isNull(), F.col("change")).otherwise(F.concat(F.array_except("change", "common"), F.array_intersect("common", "change")))
-    members = stored(members.join(common, "a", "left").withColumn("change", ordered).drop("common"), "changes").repartition("b")
+    lacking = F.slice("change", F.size("change") - F.col("lacks") + 1, F.col("lacks"))
+    ordered = F.when(F.col("common").isNull(), F.col("change")).otherwise(F.concat(F.array_except(new, "common"), F.array_intersect("common", new), lacking))
+    members = _dealt(stored(members.join(common, "a", "left").withColumn("change", ordered).drop("common"), "changes"))
     d = F.size("change")
     least_y = F.floor((d + (F.col("na") - F.col("nb")) * slack) / 2 + 1e-6).cast("int")  # this many and one more
     least_x = F.ceil(d - F.col("nb") * ((1 - similarity) / similarity) - 1e-6).cast("int")
