@@ -23,20 +23,46 @@ OPS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.Struct
 _OP = pa.struct([("tag", pa.string()), *((n, pa.int32()) for n in ("i1", "i2", "j1", "j2"))])
 
 
+def _each_once(pairs, f) -> list:
+    """f of each pair, reckoned once for equal pairs of a batch: most models write most clips alike."""
+    known: dict = {}
+    out = []
+    for a, b in pairs:
+        if (key := (a, b)) not in known:
+            known[key] = f(a, b)
+        out.append(known[key])
+    return out
+
+
+def _token_pairs(left: pa.Array, right: pa.Array) -> Iterator[tuple[tuple, tuple]]:
+    return ((tuple(a or ()), tuple(b or ())) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))
+
+
+def _ops(a: tuple, b: tuple) -> list[tuple]:
+    if a == b:
+        return [("equal", 0, len(a), 0, len(a))] if a else []
+    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 @arrow_udf(OPS)
 def align_ops(refs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Operations that turn the first token array into the second."""
     for left, right in refs:
-        out = []
-        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            out.append([dict(zip(("tag", "i1", "i2", "j1", "j2"), op, strict=True)) for op in SequenceMatcher(None, a or [], b or [], autojunk=False).get_opcodes()])
-        yield pa.array(out, pa.list_(_OP))
+        offsets, flat = [0], []
+        for ops in _each_once(_token_pairs(left, right), _ops):
+            flat.extend(ops)
+            offsets.append(len(flat))
+        columns = list(zip(*flat, strict=True)) if flat else [()] * len(_OP)
+        found = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _OP, strict=True)], fields=list(_OP))
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
 
 
 def _coverage(a: str, b: str) -> float:
     a, b = "".join(a.split()), "".join(b.split())
     if not a:
         return 1.0 if b else 0.0
+    if a == b or not b:
+        return 0.0 if b else 1.0
     blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
     return 1.0 - sum(m.size for m in blocks) / len(a)
 
@@ -45,14 +71,15 @@ def _coverage(a: str, b: str) -> float:
 def char_cer(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Share of the first text's characters (white space aside) in no block matched in the second."""
     for left, right in pairs:
-        yield pa.array([_coverage(a or "", b or "") for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+        texts = ((a or "", b or "") for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))
+        yield pa.array(_each_once(texts, _coverage), pa.float64())
 
 
 @arrow_udf(T.DoubleType())
 def median_cer(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """How unlike a stretch of reference is to what models wrote there instead (a text, and an array of texts): the upper median of :func:`char_cer`, 1 without any."""
     for chunks, written in batches:
-        each = (sorted(_coverage(text or "", w) for w in ws or ()) for text, ws in zip(chunks.to_pylist(), written.to_pylist(), strict=True))
+        each = (sorted(_each_once(((text or "", w) for w in ws or ()), _coverage)) for text, ws in zip(chunks.to_pylist(), written.to_pylist(), strict=True))
         yield pa.array([x[len(x) // 2] if x else 1.0 for x in each], pa.float64())
 
 
@@ -128,26 +155,37 @@ def edit_span_chars(a: Column, b: Column) -> Column:
         at = F.array_position(differs, True)
         return F.when(at > 0, (at - 1).cast("int")).otherwise(n)
 
-    head = shared(a, b)
-    rest = lambda x: F.slice(x, head + 1, F.size(x))
-    tail = shared(F.reverse(rest(a)), F.reverse(rest(b)))
-    left = F.slice(rest(a), 1, F.size(rest(a)) - tail)
-    return F.aggregate(left, F.lit(0), lambda n, t: n + F.length(t))
+    # a lambda names what it is given, so that it is found once: column expressions with lambdas aren't shared
+    named = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    rest = lambda x, n: F.slice(x, n + 1, F.size(x))
+    both = named(shared(a, b), lambda n: F.struct(rest(a, n).alias("a"), rest(b, n).alias("b")))
+    left = named(both, lambda x: F.slice(x["a"], 1, F.size(x["a"]) - shared(F.reverse(x["a"]), F.reverse(x["b"]))))
+    return F.when(a == b, F.lit(0)).otherwise(F.aggregate(left, F.lit(0), lambda n, t: n + F.length(t)))
+
+
+def _distance(a: tuple, b: tuple) -> int:
+    # what both share at their ends costs nothing
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    a, b = a[head:], b[head:]
+    n -= head
+    tail = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 @arrow_udf(T.IntegerType())
 def token_edits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Levenshtein distance of two token arrays of any size."""
     for left, right in pairs:
-        out = []
-        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            row = list(range(len(b or ()) + 1))
-            for i, x in enumerate(a or (), 1):
-                last, row[0] = row[0], i
-                for j, y in enumerate(b or (), 1):
-                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            out.append(row[-1])
-        yield pa.array(out, pa.int32())
+        yield pa.array(_each_once(_token_pairs(left, right), _distance), pa.int32())
 
 
 @arrow_udf(T.ArrayType(T.IntegerType()))

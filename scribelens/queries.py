@@ -24,6 +24,7 @@ from .functions import text as tx
 from .operators import corpus, masked, nll, sequence
 from .plans import consensus, families, switch
 from .sources import store
+from .sources.predictions import spread
 from .streaming import tally
 
 PANEL = ("aud_a", "aud_b", "aud_c", "aud_d")
@@ -64,7 +65,7 @@ def refs(spark: SparkSession, folder: str) -> DataFrame:
     """(clip_key, ref_tokens, source, lang): all normalized tokens of the documents, in clips."""
     words = tx.tokens(tx.basic_normalize(F.col("text")))
     n = F.greatest(F.lit(1), F.floor(F.size("w") / 24).cast("int"))
-    rows = _t(spark, folder, "documents").select("doc_id", words.alias("w"), "source", "lang").where(F.size("w") > 0)
+    rows = spread(_t(spark, folder, "documents")).select("doc_id", words.alias("w"), "source", "lang").where(F.size("w") > 0)
     each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.slice("w", i * 24 + 1, F.when(i == n - 1, F.size("w")).otherwise(F.lit(24))).alias("ref_tokens")))
     return rows.select("doc_id", F.inline(each), "source", "lang").select((F.col("doc_id") * 100000 + F.col("i")).alias("clip_key"), "ref_tokens", "source", "lang")
 
@@ -271,7 +272,7 @@ def _scored(df: DataFrame, labels: dict[str, int]) -> DataFrame:
 
 @_query(_SWITCH + _SCORE.format(t="tally"))
 def switch_rates_en(spark, folder):
-    found = switch.switch_rates(_switch_clips(_t(spark, folder, "documents")), families.families_for("en"))
+    found = switch.switch_rates(_switch_clips(spread(_t(spark, folder, "documents"))), families.families_for("en"))
     return _scored(found, {"Mr": 0, "mister": 1, "any one": 0, "anyone": 1})
 
 
@@ -482,7 +483,7 @@ g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS gram FROM d, r
 SELECT doc_id, item_id, min(i) AS word, count(*) AS n FROM g JOIN h USING (gram) GROUP BY 1, 2""")
 def kgram_seed(spark, folder):
     """Where runs of six words of benchmark items stand in documents."""
-    words = lambda name, key: _t(spark, folder, name).select(F.col(key).alias("k"), tx.tokens(tx.basic_normalize(F.col("text"))).alias("words"))
+    words = lambda name, key: spread(_t(spark, folder, name)).select(F.col(key).alias("k"), tx.tokens(tx.basic_normalize(F.col("text"))).alias("words"))
     index = corpus.gram_index(words("benchmark", "item_id"), "k").withColumnRenamed("k", "item_id")
     d = words("documents", "doc_id").where(F.size("words") >= 6)
     each = d.select(F.col("k").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 6), lambda i: F.struct(i.alias("word"), F.array_join(F.slice("words", i + 1, 6), " ").alias("gram")))).alias("g")).select("doc_id", "g.*")

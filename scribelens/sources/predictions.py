@@ -176,6 +176,16 @@ def load_dir(spark: SparkSession, folder: str, pattern: str = "*.jsonl", *, lang
     return load_manifests(spark, found, language=language, **options)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows dealt over all cores if they come from fewer files than there are cores.
+
+    A file of one row group is one task whatever it holds; before costly expressions a shuffle
+    of so few files is cheaper. Rows of many files stay where they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def available(spark: SparkSession, root: str) -> list[str]:
     """Corpora (folders) under ``root``."""
     return [p.rstrip("/").rpartition("/")[2] for p in _paths(spark, f"{root.rstrip('/')}/*")]
