@@ -23,8 +23,8 @@ def _digest(text: Column) -> Column:
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line or sentence, however short, that an earlier place already has."""
-    found = substring_dedup.repeated(_table(spark, folder, "documents"), least_words=1)
+    """Every line, however short, and every sentence or run of sentences of 8 words or more that an earlier place already has."""
+    found = substring_dedup.repeated(_table(spark, folder, "documents"), least_line=1)
     return found.select(F.col("id").alias("doc_id"), F.col("first").alias("start"), "end", "n_words", "digest", F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
 
 
