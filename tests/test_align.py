@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribelens.functions import align
+from scribelens.sources.predictions import spread
 
 
 def ops_of(spark, pairs):
@@ -81,3 +82,21 @@ def test_random_pairs_agree_with_the_library(spark, seed):
     pairs = [(" ".join(r.choices("abcde", k=r.randint(0, 15))), " ".join(r.choices("abcde", k=r.randint(0, 15)))) for _ in range(50)]
     got = ops_of(spark, pairs).select(align.matched_count(F.col("ops"))).collect()
     assert [g[0] for g in got] == [sum(m.size for m in SequenceMatcher(None, a.split(), b.split(), autojunk=False).get_matching_blocks()) for a, b in pairs]
+
+
+def test_pairs_of_a_batch(spark):
+    # null, empty, equal and repeated pairs among others
+    pairs = [(None, None), (None, ["a"]), ([], ["a"]), (["a"], []), (["a", "b"], ["a", "b"]), (["a", "b", "c"], ["a", "x", "c"]), (["a", "b", "c"], ["a", "x", "c"]), (["a", "a"], ["a", "a", "a"])]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<string>, b array<string>").coalesce(1)
+    rows = d.select("a", "b", align.align_ops("a", "b").alias("ops"), align.token_edits("a", "b").alias("n"), align.char_cer(F.array_join("a", " "), F.array_join("b", " ")).alias("cer")).orderBy("i").collect()
+    assert [r["n"] for r in rows] == [0, 1, 1, 1, 0, 1, 1, 1]
+    assert [r["cer"] for r in rows] == [0.0, 1.0, 1.0, 1.0, 0.0, 1 - 2 / 3, 1 - 2 / 3, 0.0]
+    for r in rows:
+        assert [tuple(o) for o in r["ops"]] == SequenceMatcher(None, r["a"] or [], r["b"] or [], autojunk=False).get_opcodes()
+
+
+def test_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and rows.agg(F.sum("id")).first()[0] == 499500
+    assert spread(spark.range(3)).count() == 3
