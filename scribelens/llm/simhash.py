@@ -216,17 +216,34 @@ def _shingler(words: int):
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """(a, b, j): the Jaccard similarity of each pair (a, b) by the shingles of ``sets``; with ``differences`` also the sets' sizes and what b has beyond a, then what it lacks of a, each in order, and the number of the latter."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    """(a, b, j): the Jaccard similarity of each pair (a, b) by the shingles of ``sets``; with ``differences`` also the sets' sizes and what b has beyond a, then what it lacks of a, each in order, and the number of the latter.
+
+    Pairs are stored, so Spark knows how few they are; sets of no pair are left out before they are dealt.
+    """
+    needed = sets.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     more = [F.size("x").alias("na"), F.size("y").alias("nb"), F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y"))).alias("change"), (F.size("x") - common).alias("lacks")] if differences else []
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"), *more)
 
 
-def _within(groups: DataFrame, bucket: int) -> DataFrame:
-    """All pairs (a, b), a < b, within the groups of at most ``bucket`` nodes."""
+def _fingerprint_links(texts: DataFrame, distance: int, segments: int, bucket: int) -> DataFrame:
+    """Pairs (a, b), a < b, of texts (node, fingerprint) that connect all whose fingerprints are within ``distance`` bits, see :func:`links`."""
+    prints = stored(texts.groupBy("fingerprint").agg(F.min("node").alias("owner")), "distinct")
+    found = stored(links(prints.select(F.lit(0).alias("band"), "fingerprint"), distance=distance, segments=segments, bucket=bucket), "links")
+    same = texts.join(prints, "fingerprint").where("node <> owner").select(F.col("owner").alias("a"), F.col("node").alias("b"))
+    ends = [prints.select(F.col("fingerprint").alias(side), F.col("owner").alias(node)) for side, node in (("a", "l"), ("b", "r"))]
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
+    out = stored(same.unionByName(near), "near")
+    release(prints, found)
+    return out
+
+
+def _within(groups: DataFrame, bucket: int, roots: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, within the groups of at most ``bucket`` nodes, but those that ``roots`` (node, root) has as one component."""
     few = groups.where(F.col("n") <= bucket).select("band", "key", "node")
-    pairs = few.alias("l").join(few.alias("r"), ["band", "key"]).where("l.node < r.node")
+    few = few.withColumn("root", F.col("node")) if roots is None else few.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = few.alias("l").join(few.alias("r"), ["band", "key"]).where("l.node < r.node and l.root <> r.root")
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
@@ -283,9 +300,12 @@ def _difference_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
-def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, rounds: int = 3) -> DataFrame:
+def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, rounds: int = 3, settled: DataFrame | None = None) -> DataFrame:
     """Edges (a, b), each alike, that connect all pairs within a group (band, key, node, n: its size) that are alike; takes ``groups`` over.
 
+    ``settled`` has edges that are known to be alike; they are among the result, and texts that
+    they connect aren't compared with each other again.
+
     Groups of at most ``bucket`` texts are compared pair by pair. In a larger one all are
     compared with an owner, the text with the largest groups, which is the one that most
     others are copies of. Those like it are linked. As 1 - J is a metric, a text at
@@ -296,32 +316,36 @@ def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, r
     rounds is many texts unlike each other: they are paired by their rarest shingles.
     """
     pairs, near = [], []
+    known = None if settled is None else stored(components(settled), "roots")
     for _ in range(rounds):
-        pairs.append(stored(_within(groups, bucket), "pairs"))
+        pairs.append(stored(_within(groups, bucket, known), "pairs"))
         large = groups.where(F.col("n") > bucket).select("band", "key", "node", "n")
         if large.isEmpty():
             break
         central = large.groupBy("node").agg(F.sum("n").alias("score"))
         owners = stored(large.join(central, "node").groupBy("band", "key").agg(F.max(F.struct("score", "node")).alias("o")).select("band", "key", F.col("o.node").alias("owner")), "owners")
         star = stored(large.join(owners, ["band", "key"]).where("node <> owner").select("band", "key", "node", "owner"), "star")
-        compared = _similarities(star.select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct(), sets, True)
-        seen = stored(compared.where(F.col("j") >= 3 * similarity - 2 - 1e-9), "near")
+        spokes = stored(star.select(F.col("owner").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        seen = stored(_similarities(spokes, sets, True).where(F.col("j") >= 3 * similarity - 2 - 1e-9), "near")
         near.append(seen)
         gone = seen.where(F.col("j") >= 2 * similarity - 1 - 1e-9).select(F.col("a").alias("owner"), F.col("b").alias("node"))
         left = stored(star.join(gone, ["owner", "node"], "left_anti").select("band", "key", "node"), "left")
         counts = stored(left.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
         rest = stored(left.join(counts, ["band", "key"]), "groups")
-        release(owners, star, left, counts, groups)
+        release(owners, star, spokes, left, counts, groups)
         groups = rest
     else:
-        pairs.append(stored(_within(groups, bucket), "pairs"))
+        pairs.append(stored(_within(groups, bucket, known), "pairs"))
         rest = stored(groups.where(F.col("n") > bucket).select(F.col("node").alias("id")).distinct(), "rest")
         if not rest.isEmpty():
             pairs.append(_prefix_pairs(sets.join(rest, "id", "left_semi"), similarity))
         release(rest)
     release(groups)
     union = lambda tables: reduce(DataFrame.unionByName, tables)
-    alike = _similarities(union(pairs).distinct(), sets).where(F.col("j") >= similarity).select("a", "b")
+    candidates = stored(union(pairs).distinct(), "pairs")
+    alike = _similarities(candidates, sets).where(F.col("j") >= similarity).select("a", "b")
+    if settled is not None:
+        alike = alike.unionByName(settled)
     if near:
         seen = union(near)
         alike = stored(alike.unionByName(seen.where(F.col("j") >= similarity).select("a", "b")), "alike")
@@ -338,35 +362,45 @@ def _links(groups: DataFrame, sets: DataFrame, similarity: float, bucket: int, r
         alike = both
     else:
         alike = stored(alike, "alike")
-    release(*pairs)
+    release(candidates, *pairs, *([] if known is None else [known]))
     return alike
 
 
-def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 32) -> DataFrame:
+def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, bucket: int = 32, distance: int = 2, segments: int = 5) -> DataFrame:
     """(id, component) of every row: rows are linked if their word-shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates come from the shingles themselves, so that only the similarity counts and not
-    the kind of edit: each text has ``bands`` keys, each made of the smallest hashes of its
-    shingles under ``rows`` orders (MinHash). Texts at similarity J share a given key with a
-    chance of J^rows, so a pair at 0.8 is missed with (1 - 0.8^4)^24 = 3 in a million, one at
-    0.9 never in practice. Candidates are checked by their exact shingles, and within a key no
-    link is lost (see :func:`_links`). Texts with the same words are one group before that.
+    Texts with the same words are one group. Then the fingerprints of :func:`fingerprints` are
+    linked within ``distance`` bits by the pigeonring filter and the full Hamming check as in
+    :func:`clusters`; each link is checked by the texts' exact shingles, and those that hold
+    make components.
+
+    At 0.8 two fingerprints differ in some ten bits, which no filter tells from chance, so the
+    rest has a way of its own, by the shingles and whatever the kind of edit: each text has
+    ``bands`` keys, each made of the smallest hashes of its shingles under ``rows`` orders
+    (MinHash). Texts at similarity J share a given key with a chance of J^rows, so a pair at 0.8
+    is missed with (1 - 0.8^4)^24 = 3 in a million, one at 0.9 never in practice. Texts of
+    different components that share a key are checked by their exact shingles; within a key no
+    link is lost (see :func:`_links`).
 
     ``component`` is the smallest id reachable. Ids must be comparable and not null; texts
     without words are copies of each other.
     """
     texts_in = documents.select(F.col(id_col).alias("id"), bytes_of(F.col(text_col)).alias("text"))
-    signed = stored(texts_in.select("id", _signatures(words, bands, rows)(F.col("text")).alias("s")).select("id", "s.*"), "signed")
-    texts = stored(signed.groupBy("high", "low").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands")), "texts")
+    signed = texts_in.select("id", _fingerprinter(3, 42)(F.col("text")).alias("fingerprint"), _signatures(words, bands, rows)(F.col("text")).alias("s"))
+    signed = stored(signed.select("id", "fingerprint", "s.*"), "signed")
+    texts = stored(signed.groupBy("high", "low").agg(F.min("id").alias("node"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("bands").alias("bands")), "texts")
+    near = _fingerprint_links(texts.select("node", "fingerprint"), distance, segments, bucket)
     keys = stored(texts.select("node", F.posexplode("bands").alias("band", "key")), "keys")
     counts = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     groups = stored(keys.join(counts, ["band", "key"]), "groups")
     release(keys, counts)
-    ends = stored(groups.select(F.col("node").alias("id")).distinct(), "ends")
+    ends = groups.select(F.col("node").alias("id")).unionByName(near.select(F.explode(F.array("a", "b")).alias("id")))
+    ends = stored(ends.distinct(), "ends")
     sets = stored(texts_in.join(ends, "id", "left_semi").select("id", _shingler(words)(F.col("text")).alias("shingles")), "shingles")
     release(ends)
-    alike = _links(groups, sets, similarity, bucket)
-    release(sets)
+    settled = stored(_similarities(near, sets).where(F.col("j") >= similarity).select("a", "b"), "settled")
+    alike = _links(groups, sets, similarity, bucket, settled=settled)
+    release(near, settled, sets)
     roots = stored(components(alike), "roots")
     named = texts.join(roots.withColumnRenamed("root", "component"), "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")

@@ -464,6 +464,35 @@ def test_owner_unlike_both(spark):
     assert {r["doc_id"] for r in kept} == set(unions(alike, range(len(texts))).values()) and max(Counter(keys).values()) > 6
 
 
+def test_near_copies_meet_by_fingerprint(spark):
+    # one key of 400 orders keeps even near copies apart, so they can only meet by their fingerprints
+    texts = []
+    for i in range(12):
+        own = words(7300 + i, 900).split(" ")
+        texts += [" ".join(own), " ".join([*own[:450], "other", *own[451:]])]
+    texts += ["menu item one two three " * 400 + words(7400 + i, 25) for i in range(4)]  # equal fingerprints or nearly so, unlike shingles
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    prints = [simhash.fingerprint_of(t.encode()) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    sets = [{tuple(t.split(" ")[i : i + 5]) for i in range(len(t.split(" ")) - 4)} for t in texts]
+    alike = [(a, b) for a, b in close if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) >= 6 and any(a >= 24 for a, _ in close) and all(b < 24 for _, b in alike)
+    kept = simhash.deduplicated(table, bands=1, rows=400).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == set(unions(alike, range(len(texts))).values())
+
+
+def test_settled_texts_are_not_compared_again(spark):
+    sets = {0: range(0, 20), 1: range(0, 19), 2: range(1, 20), 3: range(40, 60), 4: range(40, 59), 5: range(70, 80)}
+    table = spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "id bigint, shingles array<bigint>")
+    groups = spark.createDataFrame([(0, 0, i, len(sets)) for i in sets], "band int, key bigint, node bigint, n bigint")
+    settled = stored(spark.createDataFrame([(0, 1), (1, 2)], "a bigint, b bigint"), "settled")
+    pairs = {tuple(r) for r in simhash._within(groups, 32, simhash.components(settled)).collect()}
+    assert pairs == {(a, b) for a in sets for b in sets if a < b and not {a, b} <= {0, 1, 2}}
+    for bucket in (2, 32):
+        edges = [tuple(r) for r in simhash._links(stored(groups, "groups"), table, 0.8, bucket, settled=settled).select("a", "b").collect()]
+        assert unions(edges, sets) == unions([(0, 1), (1, 2), (3, 4)], sets)
+
+
 def test_classifier_learns():
     good = [words(i, 60).encode() for i in range(150)]
     bad = [("menu | " * (10 + i % 30)).encode() if i % 2 else words(500 + i, 40).upper().replace(" ", "!! ").encode() for i in range(150)]
