@@ -62,7 +62,6 @@ def _item_windows(span: int):
     @arrow_udf(f"struct<n_words:bigint,windows:{_WINDOW}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
             for texts in pieces(batch, 1 << 19):
                 _, _, _, at, hashes = words(*flat(texts))
                 lengths = np.diff(at)
@@ -72,8 +71,7 @@ def _item_windows(span: int):
                     own = lengths[text] == n
                     found.append((text[own], first[own], print_[own], whole[own], int(n)))
                 found = [(a, b, c, d, np.full(len(a), n, np.int64)) for a, b, c, d, n in found]
-                out.append(_rows(len(texts), lengths, found))
-            yield pa.concat_arrays(out) if out else pa.array([], _KIND)
+                yield _rows(len(texts), lengths, found)
 
     return run
 
@@ -84,7 +82,6 @@ def _document_windows(span: int, short: list[int], bits: np.ndarray):
     @arrow_udf(f"struct<n_words:bigint,windows:{_WINDOW}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
             for texts in pieces(batch, 1 << 19):
                 _, _, _, at, hashes = words(*flat(texts))
                 found = []
@@ -93,8 +90,7 @@ def _document_windows(span: int, short: list[int], bits: np.ndarray):
                     slot = print_ & size
                     hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     found.append((text[hit], first[hit], print_[hit], whole[hit], np.full(int(hit.sum()), n, np.int64)))
-                out.append(_rows(len(texts), np.diff(at), found))
-            yield pa.concat_arrays(out) if out else pa.array([], _KIND)
+                yield _rows(len(texts), np.diff(at), found)
 
     return run
 

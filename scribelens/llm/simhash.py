@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bytes_of, release, stored, temporary
+from .common import bytes_of, pieces, release, stored, temporary
 from .words import mixed
 
 
@@ -182,35 +182,43 @@ def _shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def _signatures(words: int, bands: int, rows: int):
-    """Per text: a digest of its words, and for each band a hash of the ``rows`` smallest values that its shingles take under as many orders."""
+    """Per text: a digest of its words, its fingerprint (see :func:`fingerprints`), and for each band a hash of the ``rows`` smallest values that its shingles take under as many orders.
+
+    All in one function, so that a task has one Python worker; results leave by pieces of a batch.
+    """
     seeded = np.random.default_rng(42)
     factor, shift = (seeded.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
-    @arrow_udf("struct<high:bigint,low:bigint,bands:array<bigint>>")
+    @arrow_udf("struct<high:bigint,low:bigint,fingerprint:bigint,bands:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for text in batch:
-                text = text.as_py()
-                digest = xxhash.xxh3_128_intdigest(b" ".join(text.lower().split()))
-                each = mixed(_shingles(text, words))
-                least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-                for i in range(0, len(each), 1024):
-                    np.minimum(least, (each[i : i + 1024, None] * factor + shift).min(axis=0), out=least)
-                keys = np.zeros(bands, np.uint64)
-                for column in least.reshape(bands, rows).T:
-                    keys = mixed(keys ^ column)
-                out.append({"high": _signed(digest >> 64), "low": _signed(digest & ((1 << 64) - 1)), "bands": keys.view(np.int64).tolist()})
-            yield pa.array(out, pa.struct([("high", pa.int64()), ("low", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+            for texts in pieces(batch, 1 << 20):
+                whole = np.zeros((len(texts), 3), np.uint64)
+                keys = np.zeros((len(texts), bands), np.uint64)
+                for n, text in enumerate(texts):
+                    text = text.as_py()
+                    digest = xxhash.xxh3_128_intdigest(b" ".join(text.lower().split()))
+                    whole[n] = digest >> 64, digest & ((1 << 64) - 1), fingerprint_of(text)
+                    each = mixed(_shingles(text, words))
+                    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+                    for i in range(0, len(each), 1024):
+                        np.minimum(least, (each[i : i + 1024, None] * factor + shift).min(axis=0), out=least)
+                    for column in least.reshape(bands, rows).T:
+                        keys[n] = mixed(keys[n] ^ column)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.StructArray.from_arrays([*(pa.array(x.copy().view(np.int64)) for x in whole.T), lists], names=["high", "low", "fingerprint", "bands"])
 
     return sign
 
 
 def _shingler(words: int):
+    """Per text its shingles; they are as large as the texts, so they leave by pieces of a batch."""
+
     @arrow_udf("array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([_shingles(text.as_py(), words).view(np.int64) for text in batch], pa.list_(pa.int64()))
+            for texts in pieces(batch, 1 << 20):
+                yield pa.array([_shingles(text.as_py(), words).view(np.int64) for text in texts], pa.list_(pa.int64()))
 
     return run
 
@@ -386,8 +394,8 @@ def similar_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     without words are copies of each other.
     """
     texts_in = documents.select(F.col(id_col).alias("id"), bytes_of(F.col(text_col)).alias("text"))
-    signed = texts_in.select("id", _fingerprinter(3, 42)(F.col("text")).alias("fingerprint"), _signatures(words, bands, rows)(F.col("text")).alias("s"))
-    signed = stored(signed.select("id", "fingerprint", "s.*"), "signed")
+    signed = texts_in.select("id", _signatures(words, bands, rows)(F.col("text")).alias("s"))
+    signed = stored(signed.select("id", "s.*"), "signed")
     texts = stored(signed.groupBy("high", "low").agg(F.min("id").alias("node"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("bands").alias("bands")), "texts")
     near = _fingerprint_links(texts.select("node", "fingerprint"), distance, segments, bucket)
     keys = stored(texts.select("node", F.posexplode("bands").alias("band", "key")), "keys")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -481,6 +482,25 @@ def test_near_copies_meet_by_fingerprint(spark):
     assert {r["doc_id"] for r in kept} == set(unions(alike, range(len(texts))).values())
 
 
+def test_one_worker_a_task_and_results_by_pieces(spark, monkeypatch):
+    # two functions in one scan are two Python workers a task, and whole batches of results were held at once
+    plans = []
+    keep = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or keep(df, what))
+    simhash.similar_groups(documents(spark).where("doc_id is not null")).collect()
+    assert [p.count("ArrowEvalPython") for what, p in plans if what == "signed"] == [1]
+    texts = [words(7500 + i, 200).encode() * (1 + i % 40) for i in range(60)] + [b"", words(7600, 9).encode() * 40000, b""]
+    batch = pa.array(texts, pa.binary())
+    bits = np.full(1 << 10, 255, np.uint8)
+    for run in (simhash._shingler(5), simhash._signatures(5, 4, 2), decontaminate._item_windows(10), decontaminate._document_windows(10, [2], bits)):
+        parts = list(run.func(iter([batch, batch.slice(0, 0), batch.slice(5, 3)])))
+        assert len(parts) > 3 and sum(map(len, parts)) == len(batch) + 3
+        got = [x for p in parts for x in p.to_pylist()]
+        assert got == [p.to_pylist()[0] for t in [*texts, *texts[5:8]] for p in run.func(iter([pa.array([t], pa.binary())]))]
+    signed = [x for p in simhash._signatures(5, 4, 2).func(iter([batch])) for x in p.to_pylist()]
+    assert [x["fingerprint"] for x in signed] == [simhash._signed(simhash.fingerprint_of(t)) for t in texts]
+
+
 def test_settled_texts_are_not_compared_again(spark):
     sets = {0: range(0, 20), 1: range(0, 19), 2: range(1, 20), 3: range(40, 60), 4: range(40, 59), 5: range(70, 80)}
     table = spark.createDataFrame([(i, list(x)) for i, x in sets.items()], "id bigint, shingles array<bigint>")
