@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Places drawn at once: 8 MB of them.
+_DRAWN = 1 << 20
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
@@ -50,25 +56,39 @@ def percentile_interval(value: Column, level: float = 0.95) -> Column:
     return F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail)))
 
 
+def _resampled(x: np.ndarray, times: int, seed: int) -> np.ndarray:
+    """Means of ``times`` samples of x with replacement; one sample is held at a time."""
+    r, sample, means = np.random.default_rng(seed), np.empty_like(x), np.empty(times)
+    for i in range(times):
+        for first in range(0, len(x), _DRAWN):
+            part = sample[first : first + _DRAWN]
+            np.take(x, r.integers(0, len(x), len(part)), out=part, mode="clip")
+        means[i] = sample.mean()
+    return means
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, *, times: int = 5000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """keys, mean, lo, hi, n: percentile bootstrap of the mean, reproducible by seed.
 
-    Groups are gathered by key as arrays of doubles, so a group's values (paired contrasts
-    of one model, say) must fit a task; the order they are resampled in is their sorted one.
+    A group's values come in batches and stay as one sorted array of doubles; samples are drawn
+    one by one, ``_DRAWN`` places at a time, so that a group of n values takes some 24 n bytes
+    of a task whatever ``times`` is. The order they are resampled in is their sorted one.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", mean double, lo double, hi double, n bigint"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy(float))
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        if not len(x):
-            return pd.DataFrame(row | {"mean": [None], "lo": [None], "hi": [None], "n": [0]})
-        r = np.random.default_rng(seed)
-        means = np.concatenate([x[r.integers(0, len(x), (min(times - i, 256), len(x)))].mean(axis=1) for i in range(0, times, 256)])
-        lo, hi = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
-        return pd.DataFrame(row | {"mean": [x.mean()], "lo": [lo], "hi": [hi], "n": [len(x)]})
-
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(one, schema)
+    types = {f.name: f.dataType for f in df.select(*keys).schema}
+    schema = T.StructType([*(T.StructField(k, t) for k, t in types.items()), *(T.StructField(n, T.DoubleType()) for n in ("mean", "lo", "hi")), T.StructField("n", T.LongType())])
+
+    def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [b.column(value).drop_null().to_numpy(zero_copy_only=False) for b in batches]
+        x = np.concatenate([p[~np.isnan(p)] for p in pieces])
+        pieces.clear()
+        x.sort()
+        row = [None, None, None]
+        if len(x):
+            row = [x.mean(), *np.percentile(_resampled(x, times, seed), [50 * (1 - level), 50 * (1 + level)])]
+        values = [*(pa.array([k.as_py()], k.type) for k in key), *(pa.array([v], pa.float64()) for v in row), pa.array([len(x)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(values, [f.name for f in schema])
+
+    return df.select(*keys, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInArrow(one, schema)
 
 
 def clustered_mean(df: DataFrame, keys: list[str], cluster: str, value: str, **options) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,21 @@ def test_statistics(spark):
     assert stats.mean_of_groups(df, "k", "v").first().mean_score == 0.5
 
 
+def test_bootstrap_holds_one_sample(spark, monkeypatch):
+    x = np.random.default_rng(3).random(200_000)
+    draws = np.random.default_rng(0)
+    want = np.array([x[draws.integers(0, len(x), len(x))].mean() for _ in range(40)])
+    monkeypatch.setattr(stats, "_DRAWN", 7_777)
+    tracemalloc.start()
+    got = stats._resampled(x, 40, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 2 * x.nbytes  # all samples at once: 80 times as much
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", 3.0), (None, 2.0), ("b", None)], "k string, v double")
+    rows = {r.k: tuple(r)[1:] for r in stats.bootstrap_mean(df, ["k"], "v", times=9).collect()}
+    assert rows["a"][0] == 2.0 and rows["a"][3] == 2 and rows[None] == (2.0, 2.0, 2.0, 1) and rows["b"] == (None, None, None, 0)
+
+
 def test_numbers_and_names(spark):
     df = spark.createDataFrame([("k", "We had twenty five, then one or 95 men".split(" "))], "clip_key string, words array<string>")
     got = masked.number_targets(df).first()
