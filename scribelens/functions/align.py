@@ -2,7 +2,8 @@
 
 The operations are Ratcliff-Obershelp ones (the longest block first, the earliest on ties),
 as difflib finds them with its junk heuristic off. They are found once for each pair and
-then reused; everything after is JVM-side.
+then reused; everything after is JVM-side. Only pairs that differ are sent to Python, and
+difflib runs only for those whose blocks don't follow from what they share at their ends.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,27 +36,128 @@ def _each_once(pairs, f) -> list:
     return out
 
 
-def _token_pairs(left: pa.Array, right: pa.Array) -> Iterator[tuple[tuple, tuple]]:
-    return ((tuple(a or ()), tuple(b or ())) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))
+#: Codes of tokens are characters beyond the surrogates, so that pairs of token arrays are compared as texts.
+_FIRST_CODE, _CODES = 0xE000, 0x110000 - 0xE000
 
 
-def _ops(a: tuple, b: tuple) -> list[tuple]:
-    if a == b:
-        return [("equal", 0, len(a), 0, len(a))] if a else []
-    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+def _token_pairs(left: pa.Array, right: pa.Array) -> Iterator[tuple]:
+    """Each row's two token arrays as texts of one character a token (as tuples in a batch of more tokens than characters); null counts as empty."""
+    values = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode(null_encoding="encode")
+    if len(values.dictionary) > _CODES:
+        yield from ((tuple(a or ()), tuple(b or ())) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))
+        return
+    text = (values.indices.to_numpy(zero_copy_only=False).astype("<u4") + _FIRST_CODE).tobytes().decode("utf-32-le")
+    i, j = 0, len(left.flatten())
+    for n, m in zip(*(pc.fill_null(pc.list_value_length(x), 0).to_pylist() for x in (left, right)), strict=True):
+        yield text[i : i + n], text[j : j + m]
+        i, j = i + n, j + m
+
+
+def _head(a, b) -> int:
+    """Length of what two sequences share at their start."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _crossing(x: str, y: str, h: int, t: int, around: int) -> int:
+    """A bound of the texts in x and y that touch what x has between its first h and its last t characters.
+
+    Where ``around`` characters before it with its first one aren't in y, none begins as early
+    as that; likewise after it.
+    """
+    n = len(x) - h - t
+    early = h if h < around or x[h - around : h + 1] in y else around - 1
+    late = t if t < around or x[h + n - 1 : h + n + around] in y else around - 1
+    return n + early + late
+
+
+def _blocks(a, b, around: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the blocks that difflib matches.
+
+    What two texts share at an end is taken off while it is provably the block that difflib
+    takes first: none is longer, and of those as long it stands first in a, then in b. difflib
+    gets what remains.
+    """
+    front, back, i, j = [], [], 0, 0
+    while a and b:
+        if isinstance(a, str):
+            if (at := a.find(b)) >= 0:
+                front.append((i + at, j, len(b)))
+                break
+            if (at := b.find(a)) >= 0:
+                front.append((i, j + at, len(a)))
+                break
+            h = _head(a, b)
+            n, m = len(a), len(b)
+            t = _head(a[h:][::-1], b[h:][::-1])
+            most = _crossing(b, a, h, t, around) if h + t < m else _crossing(a, b, h, t, around)
+            if h >= t and h >= most:
+                front.append((i, j, h))
+                a, b, i, j = a[h:], b[h:], i + h, j + h
+                continue
+            if t > h and t > most and (a.find(a[n - t :]) == n - t if h + t < m else b.find(b[m - t :]) == m - t):
+                back.append((i + n - t, j + m - t, t))
+                a, b = a[: n - t], b[: m - t]
+                continue
+        front += ((i + p, j + q, k) for p, q, k in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1])
+        break
+    return front + back[::-1]
+
+
+def _ops(a, b) -> list[tuple]:
+    i = j = 0
+    ops = []
+    for p, q, k in [*_blocks(a, b, 1), (len(a), len(b), 0)]:
+        if i < p or j < q:
+            ops.append(("replace" if i < p and j < q else "delete" if i < p else "insert", i, p, j, q))
+        i, j = p + k, q + k
+        if k:
+            ops.append(("equal", p, i, q, j))
+    return ops
 
 
 @arrow_udf(OPS)
-def align_ops(refs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Operations that turn the first token array into the second."""
-    for left, right in refs:
-        offsets, flat = [0], []
-        for ops in _each_once(_token_pairs(left, right), _ops):
-            flat.extend(ops)
-            offsets.append(len(flat))
+def _aligned(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for left, right in pairs:
+        # equal pairs are aligned, and written out, once
+        places: dict = {}
+        offsets, flat, which = [0], [], []
+        for pair in _token_pairs(left, right):
+            if (at := places.get(pair)) is None:
+                at = places[pair] = len(places)
+                flat.extend(_ops(*pair))
+                offsets.append(len(flat))
+            which.append(at)
         columns = list(zip(*flat, strict=True)) if flat else [()] * len(_OP)
         found = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _OP, strict=True)], fields=list(_OP))
-        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found).take(pa.array(which, pa.int32()))
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _count(tokens: Column) -> Column:
+    return F.coalesce(F.size(tokens), F.lit(0))
+
+
+def align_ops(ref: Column | str, hyp: Column | str) -> Column:
+    """Operations that turn the first token array into the second.
+
+    Equal pairs, and those without a hypothesis, don't leave the JVM.
+    """
+    a, b = _column(ref), _column(hyp)
+    n = _count(a)
+    one = lambda tag, end: F.array(F.struct(F.lit(tag).alias("tag"), F.lit(0).alias("i1"), n.alias("i2"), F.lit(0).alias("j1"), end.alias("j2"))).cast(OPS)
+    same, silent = a.eqNullSafe(b), _count(b) == 0
+    other = ~same & ~silent
+    return F.when(silent & (n == 0), F.array().cast(OPS)).when(same, one("equal", n)).when(silent, one("delete", F.lit(0))).otherwise(_aligned(F.when(other, a), F.when(other, b)))
 
 
 def _coverage(a: str, b: str) -> float:
@@ -63,18 +166,23 @@ def _coverage(a: str, b: str) -> float:
         return 1.0 if b else 0.0
     if a == b or not b:
         return 0.0 if b else 1.0
-    blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-    return 1.0 - sum(m.size for m in blocks) / len(a)
+    return 1.0 - sum(k for _, _, k in _blocks(a, b, 4)) / len(a)
 
 
 @arrow_udf(T.DoubleType())
-def char_cer(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Share of the first text's characters (white space aside) in no block matched in the second."""
+def _uncovered(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in pairs:
         texts = ((a or "", b or "") for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))
         yield pa.array(_each_once(texts, _coverage), pa.float64())
 
 
+def char_cer(ref: Column | str, hyp: Column | str) -> Column:
+    """Share of the first text's characters (white space aside) in no block matched in the second."""
+    a, b = _column(ref), _column(hyp)
+    same = a.eqNullSafe(b)
+    return F.when(same, F.lit(0.0)).otherwise(_uncovered(F.when(~same, a), F.when(~same, b)))
+
+
 @arrow_udf(T.DoubleType())
 def median_cer(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """How unlike a stretch of reference is to what models wrote there instead (a text, and an array of texts): the upper median of :func:`char_cer`, 1 without any."""
@@ -94,6 +202,16 @@ def missed_indices(ops: Column) -> Column:
     return F.flatten(F.transform(gone, lambda o: F.sequence(o["i1"], o["i2"] - 1)))
 
 
+def missed_count(ops: Column) -> Column:
+    """How many reference positions were deleted or replaced."""
+    return F.aggregate(ops, F.lit(0), lambda n, o: n + F.when(o["tag"].isin("delete", "replace"), o["i2"] - o["i1"]).otherwise(0))
+
+
+def first_missed(ops: Column) -> Column:
+    """The first reference position that was deleted or replaced; null for none."""
+    return F.get(F.filter(ops, lambda o: o["tag"].isin("delete", "replace")), F.lit(0))["i1"]
+
+
 def matched_count(ops: Column) -> Column:
     """Reference positions reproduced."""
     return F.aggregate(ops, F.lit(0), lambda n, o: n + F.when(o["tag"] == "equal", o["i2"] - o["i1"]).otherwise(0))
@@ -163,16 +281,15 @@ def edit_span_chars(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0)).otherwise(F.aggregate(left, F.lit(0), lambda n, t: n + F.length(t)))
 
 
-def _distance(a: tuple, b: tuple) -> int:
+def _distance(a, b) -> int:
     # what both share at their ends costs nothing
-    n = min(len(a), len(b))
-    head = next((i for i in range(n) if a[i] != b[i]), n)
-    a, b = a[head:], b[head:]
-    n -= head
-    tail = next((i for i in range(n) if a[-1 - i] != b[-1 - i]), n)
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not a or not b:
-        return len(a) + len(b)
+    head = _head(a, b)
+    a, b = a[head:][::-1], b[head:][::-1]
+    tail = _head(a, b)
+    a, b = a[tail:], b[tail:]
+    if min(len(a), len(b)) < 2:
+        # of one token against some all are edits but for one that is the same
+        return max(len(a), len(b)) - (bool(a and b) and (a[0] in b if len(a) == 1 else b[0] in a))
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -182,12 +299,19 @@ def _distance(a: tuple, b: tuple) -> int:
 
 
 @arrow_udf(T.IntegerType())
-def token_edits(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Levenshtein distance of two token arrays of any size."""
+def _distances(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in pairs:
         yield pa.array(_each_once(_token_pairs(left, right), _distance), pa.int32())
 
 
+def token_edits(ref: Column | str, hyp: Column | str) -> Column:
+    """Levenshtein distance of two token arrays of any size; equal and empty ones don't leave the JVM."""
+    a, b = _column(ref), _column(hyp)
+    n, m = _count(a), _count(b)
+    other = ~a.eqNullSafe(b) & (n > 0) & (m > 0)
+    return F.when((n == 0) | (m == 0), n + m).when(~other, 0).otherwise(_distances(F.when(other, a), F.when(other, b)))
+
+
 @arrow_udf(T.ArrayType(T.IntegerType()))
 def block_map(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """For each token of the first array its place in the second by matching blocks; -1 for none."""
