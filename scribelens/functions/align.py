@@ -123,7 +123,7 @@ def _ops(a, b) -> list[tuple]:
 
 
 @arrow_udf(OPS)
-def _aligned(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def align_ops_udf(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in pairs:
         # equal pairs are aligned, and written out, once
         places: dict = {}
@@ -157,7 +157,7 @@ def align_ops(ref: Column | str, hyp: Column | str) -> Column:
     one = lambda tag, end: F.array(F.struct(F.lit(tag).alias("tag"), F.lit(0).alias("i1"), n.alias("i2"), F.lit(0).alias("j1"), end.alias("j2"))).cast(OPS)
     same, silent = a.eqNullSafe(b), _count(b) == 0
     other = ~same & ~silent
-    return F.when(silent & (n == 0), F.array().cast(OPS)).when(same, one("equal", n)).when(silent, one("delete", F.lit(0))).otherwise(_aligned(F.when(other, a), F.when(other, b)))
+    return F.when(silent & (n == 0), F.array().cast(OPS)).when(same, one("equal", n)).when(silent, one("delete", F.lit(0))).otherwise(align_ops_udf(F.when(other, a), F.when(other, b)))
 
 
 def _coverage(a: str, b: str) -> float:
@@ -170,7 +170,7 @@ def _coverage(a: str, b: str) -> float:
 
 
 @arrow_udf(T.DoubleType())
-def _uncovered(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def char_cer_udf(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in pairs:
         texts = ((a or "", b or "") for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True))
         yield pa.array(_each_once(texts, _coverage), pa.float64())
@@ -180,7 +180,7 @@ def char_cer(ref: Column | str, hyp: Column | str) -> Column:
     """Share of the first text's characters (white space aside) in no block matched in the second."""
     a, b = _column(ref), _column(hyp)
     same = a.eqNullSafe(b)
-    return F.when(same, F.lit(0.0)).otherwise(_uncovered(F.when(~same, a), F.when(~same, b)))
+    return F.when(same, F.lit(0.0)).otherwise(char_cer_udf(F.when(~same, a), F.when(~same, b)))
 
 
 @arrow_udf(T.DoubleType())
@@ -223,6 +223,17 @@ def substitution_at(ops: Column, hyp: Column, first: Column, end: Column) -> Col
     return F.array_join(F.flatten(F.transform(over, lambda o: F.slice(hyp, o["j1"] + 1, o["j2"] - o["j1"]))), " ")
 
 
+def replacements(ops: Column, hyp: Column) -> Column:
+    """array<struct<i1, i2, tokens>>: replaced reference positions and what stands there instead."""
+    return F.transform(F.filter(ops, lambda o: o["tag"] == "replace"), lambda o: F.struct(o["i1"].alias("i1"), o["i2"].alias("i2"), F.slice(hyp, o["j1"] + 1, o["j2"] - o["j1"]).alias("tokens")))
+
+
+def replaced_within(replaced: Column, first: Column, end: Column) -> Column:
+    """:func:`substitution_at` of :func:`replacements`."""
+    over = F.filter(replaced, lambda o: (o["i1"] < end) & (o["i2"] > first))
+    return F.array_join(F.flatten(F.transform(over, lambda o: o["tokens"])), " ")
+
+
 def insertion_at(ops: Column, hyp: Column, anchor: Column) -> Column:
     """Tokens purely inserted before reference position ``anchor``."""
     here = F.filter(ops, lambda o: (o["tag"] == "insert") & (o["i1"] == anchor))
@@ -299,7 +310,7 @@ def _distance(a, b) -> int:
 
 
 @arrow_udf(T.IntegerType())
-def _distances(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def token_edits_udf(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in pairs:
         yield pa.array(_each_once(_token_pairs(left, right), _distance), pa.int32())
 
@@ -309,7 +320,7 @@ def token_edits(ref: Column | str, hyp: Column | str) -> Column:
     a, b = _column(ref), _column(hyp)
     n, m = _count(a), _count(b)
     other = ~a.eqNullSafe(b) & (n > 0) & (m > 0)
-    return F.when((n == 0) | (m == 0), n + m).when(~other, 0).otherwise(_distances(F.when(other, a), F.when(other, b)))
+    return F.when((n == 0) | (m == 0), n + m).when(~other, 0).otherwise(token_edits_udf(F.when(other, a), F.when(other, b)))
 
 
 @arrow_udf(T.ArrayType(T.IntegerType()))

@@ -38,18 +38,20 @@ def aligned(clips: DataFrame) -> DataFrame:
 def _clips(rows: DataFrame, panel: Sequence[str], models: Sequence[str] | None, s: Settings) -> DataFrame:
     n_ref = F.size("ref_tokens")
     ops, hyp = F.col("ops"), F.col("hyp_tokens")
+    # most pairs are equal or silent: nothing was put anywhere
+    only = lambda some, value, kind: F.when(some, value).otherwise(F.array().cast(kind))
+    several = F.size("ops") > 1
     vote = F.struct(
         "model",
         F.col("model").isin(*panel).alias("panel"),
         (F.col("model").isin(*models) if models else F.lit(True)).alias("tested"),
         (F.col("matched") >= F.floor(F.lit(s.min_ref_match) * n_ref)).alias("able"),
-        "missed",
-        F.filter(ops, lambda o: o["tag"] == "replace").alias("replaced"),
-        F.col("hyp_tokens").alias("hyp"),
-        F.reverse(align.insertion_at(ops, hyp, F.lit(0))).alias("before"),
-        align.insertion_at(ops, hyp, n_ref).alias("after"),
+        only(F.col("matched") < n_ref, F.col("missed"), "array<int>").alias("missed"),
+        only(several | (F.get(ops, F.lit(0))["tag"] == "replace"), align.replacements(ops, hyp), "array<struct<i1:int,i2:int,tokens:array<string>>>").alias("replaced"),
+        only(several, F.reverse(align.insertion_at(ops, hyp, F.lit(0))), "array<string>").alias("before"),
+        only(several, align.insertion_at(ops, hyp, n_ref), "array<string>").alias("after"),
     )
-    by = rows.where(n_ref > 0).groupBy("clip_key").agg(F.any_value("ref_tokens").alias("_ref"), F.array_sort(F.collect_list(vote), lambda a, b: F.when(a["model"] < b["model"], -1).when(a["model"] > b["model"], 1).otherwise(0)).alias("votes")).withColumnRenamed("_ref", "ref_tokens")
+    by = rows.where(n_ref > 0).groupBy("clip_key").agg(F.any_value("ref_tokens").alias("_ref"), F.array_sort(F.collect_list(vote)).alias("votes")).withColumnRenamed("_ref", "ref_tokens")
     by = by.withColumn("panel", F.filter("votes", lambda v: v["panel"] & v["able"])).withColumn("n_panel", F.size("panel")).where(F.col("n_panel") >= s.min_panel)
     threshold = F.greatest(F.lit(2), F.ceil(F.lit(s.majority) * F.col("n_panel") - 1e-9).cast("int"))
     return by.withColumns({"threshold": threshold, "n_ref": n_ref})
@@ -90,7 +92,10 @@ def find_ref_edits(clips: DataFrame, panel: Sequence[str], models: Sequence[str]
     s = settings or Settings()
     by = _clips(aligned(clips), panel, models, s)
     zeros = F.array_repeat(F.lit(0), F.col("n_ref"))
-    by = by.withColumn("counts", F.aggregate("panel", zeros, lambda a, v: F.zip_with(a, v["missed"], lambda x, y: x + y)))
+    by = by.withColumn("counts", F.aggregate("panel", zeros, lambda a, v: F.when(F.size(v["missed"]) == 0, a).otherwise(F.zip_with(a, v["missed"], lambda x, y: x + y))))
+    # most clips have no edit: enough of the panel must have missed a position, or put something at an end
+    adds = lambda name: F.size(F.filter("panel", lambda v: F.size(v[name]) > 0)) >= F.col("threshold")
+    by = by.where((F.array_max("counts") >= F.col("threshold")) | adds("before") | adds("after"))
     edit = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, ("kind", "position", "tokens", "first", "indices", "n_panel_agree", "written", "verdicts"), strict=True))).cast(_EDIT)
 
     # deletions: runs of positions that enough of the panel missed, unless most of it wrote something much alike
@@ -98,7 +103,7 @@ def find_ref_edits(clips: DataFrame, panel: Sequence[str], models: Sequence[str]
     over = lambda v, r: F.array_contains(F.slice(v["missed"], r["first"] + 1, r["end"] - r["first"]), 1)
     by = by.withColumn("runs", runs)
     chunk = lambda r: F.slice("ref_tokens", r["first"] + 1, r["end"] - r["first"])
-    written = lambda r: F.transform(F.filter("panel", lambda v: over(v, r)), lambda v: align.substitution_at(v["replaced"], v["hyp"], r["first"], r["end"]))
+    written = lambda r: F.transform(F.filter("panel", lambda v: over(v, r)), lambda v: align.replaced_within(v["replaced"], r["first"], r["end"]))
     place = lambda r: F.when(r["first"] == 0, "start").when(r["end"] == F.col("n_ref"), "end").otherwise("middle")
     deleted = F.transform("runs", lambda r: edit(F.lit("delete"), place(r), chunk(r), r["first"], F.sequence(r["first"], r["end"] - 1), F.get("counts", r["first"]), written(r), _verdicts(F.col("votes"), lambda v: over(v, r))))
 

@@ -140,3 +140,21 @@ def test_wilson(spark):
     got = [tuple(r[0]) for r in df.select(wilson(F.col("k"), F.col("n"))).collect()]
     assert got[2] == (0.0, 0.0, 0.0) and all(0 <= lo <= p <= hi <= 1 for p, lo, hi in got)
     assert [round(x, 3) for x in got[3]] == [0.812, 0.647, 0.911] and round(got[4][0], 4) == 0.3986
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    from scribelens import queries
+
+    rows = [(1, " ".join(map(str, range(60))), "s", "en"), (2, " . ", "s", "en"), (3, None, "s", "en"), (4, "one", "s", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    refs = queries.refs(spark, str(tmp_path))
+    assert sorted((r.clip_key, len(r.ref_tokens)) for r in refs.collect()) == [(100000, 24), (100001, 36), (400000, 1)]
+    assert refs._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_drop_before_a_repeated_token_is_two_edits(spark):
+    # what is left stands first one place earlier, so a token goes at each end (clip 628700004 of sf0.1)
+    ref = ["eteauané", *["eau"] * 23]
+    found = edits(spark, " ".join(ref), panel(" ".join(ref[2:])), {})
+    assert SequenceMatcher(None, ref, ref[2:], autojunk=False).get_opcodes() == [("delete", 0, 1, 0, 0), ("equal", 1, 23, 0, 22), ("delete", 23, 24, 22, 22)]
+    assert sorted((e["first"], e["tokens"]) for e in found) == [(0, ["eteauané"]), (23, ["eau"])]
