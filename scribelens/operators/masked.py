@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -241,10 +242,25 @@ def leak_rate(rows: DataFrame, *keys: str, hit: str = "hit") -> DataFrame:
 def gated_rate(masked: DataFrame, unmasked: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Recovery from masked audio among the clips that the model gets unmasked; both have (by, clip_key, hit)."""
     keys = [*by, "clip_key"]
-    open_ = unmasked.where("hit is not null").select(*keys, F.col("hit").alias("open_hit"))
-    both = open_.join(masked.where("hit is not null").select(*keys, "hit"), keys, "left")
-    gated = F.col("open_hit") & F.col("hit").isNotNull()
-    out = both.groupBy(*by).agg(F.count("*").alias("n_unmasked_eval"), F.count_if("open_hit").alias("n_gate_pass"), F.count_if(gated & F.col("hit")).alias("masked_leak"), F.count_if(gated).alias("n_gated"))
+    side = lambda df, is_open: df.select(*keys, "hit", F.lit(is_open).alias("_open"))
+    return gated_rate_within(side(unmasked, True).unionByName(side(masked, False)), F.col("_open"), by)
+
+
+def gated_rate_within(rows: DataFrame, is_open: Column, by: Sequence[str] = ("model",)) -> DataFrame:
+    """:func:`gated_rate` of one table of both, read once: ``is_open`` tells unmasked rows from masked ones.
+
+    Every unmasked row is paired with every masked one of its keys (counted, not joined), or
+    stands alone without any; null keys have no partner.
+    """
+    keys = [*by, "clip_key"]
+    hit, open_ = F.col("hit"), F.coalesce(is_open, F.lit(False))
+    each = rows.where("hit is not null").groupBy(*keys).agg(F.count_if(open_ & hit).alias("_pass"), F.count_if(open_).alias("_open"), F.count_if(~open_ & hit).alias("_leak"), F.count_if(~open_).alias("_shut"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    each = each.where(F.col("_open") > 0).withColumns({"_leak": F.when(known, F.col("_leak")).otherwise(0), "_shut": F.when(known, F.col("_shut")).otherwise(0)})
+    times = F.greatest(F.col("_shut"), F.lit(1))
+    out = each.groupBy(*by).agg(F.sum(F.col("_open") * times).alias("n_unmasked_eval"), F.sum(F.col("_pass") * times).alias("n_gate_pass"), F.sum(F.col("_pass") * F.col("_leak")).alias("masked_leak"), F.sum(F.col("_pass") * F.col("_shut")).alias("n_gated"))
     return out.withColumns({"unmasked_rate": F.try_divide("n_gate_pass", "n_unmasked_eval"), "masked_retrieval": F.try_divide("masked_leak", "n_gated")})
 
 
@@ -255,11 +271,22 @@ def passing_keys(keys: DataFrame, passed: DataFrame | None, key: str = "clip_key
 
 def paired_difference(real: DataFrame, clone: DataFrame, real_open: DataFrame, clone_open: DataFrame, least: int = 5) -> DataFrame:
     """model, clip_key, difference: hit on real minus hit on clone, where both are gotten unmasked; models with fewer than ``least`` pairs go."""
-    keys = ["model", "clip_key"]
-    passed = lambda df: df.where("hit").select(*keys)
-    pairs = real.select(*keys, F.col("hit").cast("int").alias("a")).join(clone.select(*keys, F.col("hit").cast("int").alias("b")), keys).join(passed(real_open), keys, "left_semi").join(passed(clone_open), keys, "left_semi")
-    rows = pairs.where("a is not null and b is not null").select(*keys, (F.col("a") - F.col("b")).alias("difference"))
-    return rows.join(rows.groupBy("model").count().where(F.col("count") >= least).select("model"), "model", "left_semi")
+    given = [real, clone, real_open, clone_open]
+    # a table that is given twice is read once
+    apart = [df for i, df in enumerate(given) if not any(df is other for other in given[:i])]
+    parts = [df.select("model", "clip_key", "hit", *(F.lit(other is df).alias(f"_in{i}") for i, other in enumerate(given))) for df in apart]
+    return paired_difference_within(reduce(DataFrame.unionByName, parts), *(F.col(f"_in{i}") for i in range(4)), least=least)
+
+
+def paired_difference_within(rows: DataFrame, real: Column, clone: Column, real_open: Column, clone_open: Column, least: int = 5) -> DataFrame:
+    """:func:`paired_difference` of one table of all, read and shuffled once; the conditions tell whose rows they are."""
+    hit = F.col("hit")
+    n = lambda whose, right: F.count_if(whose & (hit if right else ~hit))
+    each = rows.where("model is not null and clip_key is not null and hit is not null").groupBy("model", "clip_key")
+    each = each.agg(n(real, True).alias("_a1"), n(real, False).alias("_a0"), n(clone, True).alias("_b1"), n(clone, False).alias("_b0"), n(real_open, True).alias("_a"), n(clone_open, True).alias("_b")).where("_a > 0 and _b > 0 and _a1 + _a0 > 0 and _b1 + _b0 > 0")
+    few = each.groupBy("model").agg(F.sum(F.expr("(_a1 + _a0) * (_b1 + _b0)")).alias("_n")).where(F.col("_n") >= least)
+    pairs = F.concat(*(F.array_repeat(F.lit(d), F.expr(count).cast("int")) for d, count in ((1, "_a1 * _b0"), (0, "_a1 * _b1 + _a0 * _b0"), (-1, "_a0 * _b1"))))
+    return each.join(few, "model", "left_semi").select("model", "clip_key", F.explode_outer(pairs).alias("difference"))
 
 
 def without_garbage(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Orthographic switch rate: how often a model writes the arm that the reference uses, by its worst arm.
 
-One pass over the joined clips: the families' patterns are generated columns, a clip is
+One pass over the joined clips: the arms that a reference uses are one array column, a clip is
 exploded into the families it counts for, and everything else is one aggregation by model
 and arm.
 """
@@ -18,6 +18,18 @@ from .families import Family, arms_in_common
 _USE = "struct<family:string,arm:int,label:string,hit:boolean>"
 
 
+#: The column of :func:`with_arms`.
+ARMS = "_arms"
+
+
+def with_arms(rows: DataFrame, families: Sequence[Family], reference: str = "reference") -> DataFrame:
+    """Adds the reference's arm of each family (null for none), for :func:`tallies` of the same families.
+
+    Before references are repeated for their models, this looks for the patterns once a reference.
+    """
+    return rows.withColumn(ARMS, F.array(*(f.arm_index(F.col(reference)) for f in families)))
+
+
 def _use(family: Family, arm: Column, hyp: Column, label: Column, name: str) -> Column:
     hit = F.lit(False)
     for i in reversed(range(len(family.arms))):
@@ -31,12 +43,17 @@ def tallies(clips: DataFrame, families: Sequence[Family], *, pooled: str | None
     With ``pooled`` all families are one of that name, arms take ``roles`` by position, and a
     clip counts once, for the first family whose reference arm is found. Null hypotheses
     aren't counted. A hit is any pattern of the reference's arm found in the hypothesis.
+    Clips may bring the arms of :func:`with_arms` along.
     """
-    ref, hyp = F.col(reference), F.col(hypothesis)
-    labels = lambda f: F.element_at(F.array(*(F.lit(x) for x in (roles if pooled else f.labels))), f.arm_index(ref) + 1)
-    uses = [_use(f, f.arm_index(ref), hyp, labels(f), pooled or f.name) for f in families]
-    rows = clips.where(hyp.isNotNull())
-    rows = rows.select(F.col(model).alias("model"), F.coalesce(*uses).alias("use")).where("use is not null") if pooled else rows.select(F.col(model).alias("model"), F.explode(F.filter(F.array(*uses), lambda u: u.isNotNull())).alias("use"))
+    hyp = F.col(hypothesis)
+    rows = clips if ARMS in clips.columns else with_arms(clips, families, reference)
+    arm = lambda i: F.get(ARMS, F.lit(i))
+    labels = lambda f, i: F.get(F.array(*(F.lit(x) for x in (roles if pooled else f.labels))), arm(i))
+    uses = [_use(f, arm(i), hyp, labels(f, i), pooled or f.name) for i, f in enumerate(families)]
+    rows = rows.where(hyp.isNotNull())
+    # outer: else filters inferred from the array would look for all patterns again
+    use = F.coalesce(*uses) if pooled else F.explode_outer(F.filter(F.array(*uses), lambda u: u.isNotNull()))
+    rows = rows.select(F.col(model).alias("model"), use.alias("use")).where("use is not null")
     return rows.groupBy(F.col("use.family").alias("family"), "model", F.col("use.arm").alias("arm"), F.col("use.label").alias("label")).agg(F.count_if("use.hit").alias("hits"), F.count("*").alias("n"))
 
 

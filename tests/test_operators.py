@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import tracemalloc
 
 import numpy as np
@@ -193,3 +194,22 @@ def test_entry_stands_alone(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     with pytest.raises(KeyError):
         __spark_entry__.queries()["nothing"]
+
+
+def test_gates_and_pairs_are_counted_as_if_joined(spark):
+    # repeated rows, null hits and null keys; the joins are written out here
+    r = random.Random(5)
+    table = lambda n: spark.createDataFrame([(r.choice(["m", "n", None]), r.choice(["a", "b", "c", "d", None]), r.choice([True, True, False, None])) for _ in range(n)], "model string, clip_key string, hit boolean").localCheckpoint()
+    keys = ["model", "clip_key"]
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for _ in range(3):
+        shut, open_, other = table(12), table(9), table(9)
+        both = open_.where("hit is not null").withColumnRenamed("hit", "o").join(shut.where("hit is not null"), keys, "left")
+        want = both.groupBy("model").agg(F.count("*"), F.count_if("o"), F.count_if(F.expr("o and hit")), F.count_if(F.expr("o and hit is not null")))
+        assert ordered(masked.gated_rate(shut, open_).drop("unmasked_rate", "masked_retrieval")) == ordered(want)
+        for gate in (open_, other):
+            pairs = open_.withColumnRenamed("hit", "a").join(shut.withColumnRenamed("hit", "b"), keys).where("a is not null and b is not null")
+            pairs = pairs.join(gate.where("hit"), keys, "left_semi").join(other.where("hit"), keys, "left_semi").select(*keys, F.expr("cast(a as int) - cast(b as int)"))
+            enough = [x.model for x in pairs.groupBy("model").count().where("count >= 3").collect()]
+            assert ordered(masked.paired_difference(open_, shut, gate, other, least=3)) == ordered(pairs.where(F.col("model").isin(enough)))
+    assert masked.paired_difference(open_, shut, open_, open_)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4  # two tables for the pairs, two for the models' counts

@@ -77,3 +77,15 @@ def test_explorative_groups(spark):
     assert {r.model: r.switch for r in ranked.collect()} == {"fixed": 0.0, "copies": 1.0, "half": 0.5} and means.count() == 3
     text = spark.createDataFrame([("Mr. Smith",)], "t string").select(switch.highlighted(F.col("t"), families.family("hon_mister"), 0)).first()[0]
     assert text == "[[Mr. S]]mith"
+
+
+def test_patterns_are_sought_once(spark):
+    two = [families.family(n) for n in ("hon_mister", "sp_anyone")]
+    refs = spark.createDataFrame([(i, t) for i, t in enumerate(["Mr. Smith saw any one", "mister Smith", "anyone", "none", None])], "i int, reference string").localCheckpoint()
+    clips = lambda rows: rows.select(*rows.columns, F.explode(F.array(F.struct(F.lit("x").alias("model"), F.col("reference").alias("hypothesis")), F.struct(F.lit("y").alias("model"), F.lit("Mr Smith, anyone").alias("hypothesis"))))).select(*rows.columns, "col.*")
+    found = switch.tallies(clips(refs), two)
+    early = switch.tallies(clips(switch.with_arms(refs, two)), two)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, early.collect())) and found.count() == 8
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # each of four patterns once in the reference and once in the hypothesis
+    assert plan.count("RLIKE") == 8
